@@ -20,7 +20,26 @@ SIDE_BYTES = 64 << 20
 
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters, digits and underscores; none for null."""
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where words(text) are."""
+    return [m.span() for m in WORD.finditer(text)]
+
+
+def keep_rows(docs: DataFrame, mask: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """docs' rows, with all columns, for which the function of a batch says so; nothing is shuffled."""
+    workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
