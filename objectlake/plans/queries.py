@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,11 @@ from objectlake.operators import enrich, fulltext, graph, integrity, lifecycle,
 from objectlake.plans import sql as S
 from objectlake.plans.predicates import And, Contains, Eq, Or, Related, Tables, compile, compile_wide
 from objectlake.schema import kind_of, read_as, wide
+from objectlake.session import shared_dir
 from objectlake.sources import tables as src
+from objectlake.sources.dataset import Dataset
 from objectlake.sources.tables import object_id, table, union
+from objectlake.streaming import access
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -648,9 +652,84 @@ def log_tail(spark, d):
     return lifecycle.log_tail(src.access_log(spark, d), "session", 20).select("seq", "session")
 
 
+# Streams: the same tables taken as they come; all that is there is processed, and the last state compared
+
+
+def _stream(spark, d):
+    # a pattern, since a stream's source can't be the path of a single file
+    events = access.read_log(spark, f"{d}/event?.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    return events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("object_id"), F.col("user_id").alias("session"), "ts", F.when(F.col("event_type") == "purchase", "write").otherwise("read").alias("access_type"))
+
+
+@query(f"with {S.LOG} select object_id, arg_max(ts, seq) as last_ts, count(*) as total, count(*) filter (where access_type = 'read') as reads, count(*) filter (where access_type = 'write') as writes from log group by 1")
+def stream_access_stats(spark, d):
+    return access.settle(access.counters(_stream(spark, d)), keys=("object_id",))
+
+
+@query("select user_id::varchar as object_id, count(*) as total, case when count(*) <= 5 then 'hot' when count(*) <= 50 then 'warm' else 'cold' end as tier from events group by 1")
+def stream_tiers(spark, d):
+    return access.settle(access.tiers(_stream(spark, d).withColumn("object_id", F.col("session").cast("string"))), keys=("object_id",))
+
+
+@query("select time_bucket(interval 1 day, ts) as day, event_type as object_id, count(*) as n from events group by 1, 2")
+def stream_windows(spark, d):
+    found = access.settle(access.windows(_stream(spark, d)), "complete")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("day"), "object_id", "n")
+
+
+@query(
+    """with g as (select *, case when ts >= lag(ts) over w + interval 6 hour or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts) as nth from g)
+    select user_id as session, min(ts) as first_ts, max(ts) + interval 6 hour as end_ts, count(*) as n from s group by user_id, nth"""
+)
+def stream_visits(spark, d):
+    found = access.settle(access.visits(_stream(spark, d), "session", "6 hours"), "complete")
+    return found.select("session", F.col("start").cast("timestamp_ntz").alias("first_ts"), F.col("end").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+@query(
+    """with x as (select user_id, row_number() over w as nth, event_type as a, lead(event_type, 1) over w as b, lead(event_type, 2) over w as next from events window w as (partition by user_id order by ts, event_id)),
+    y as (select *, count(*) over (partition by user_id, a, b) as n, row_number() over (partition by user_id, a, b order by nth) as r from x where b is not null)
+    select user_id as session, a, b, next, sum(n - r)::bigint as freq from y where next is not null group by 1, 2, 3, 4 having sum(n - r) > 0"""
+)
+def stream_patterns(spark, d):
+    return access.settle(access.patterns(_stream(spark, d), "session"), keys=("session", "a", "b", "next"))
+
+
 # Versions
 
 
+def _dataset(spark):
+    return Dataset(spark, f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}")
+
+
+@query("select doc_id, lang, text from documents")
+def snapshot_restore(spark, d):
+    """The documents after they were stored, kept, replaced and restored."""
+    docs, own = table(spark, d, "documents").select("doc_id", "lang", "text"), _dataset(spark)
+    own.commit(documents=docs)
+    kept = own.snapshot("before")
+    own.commit(documents=docs.where("lang = 'en'"))
+    own.restore(kept)
+    own.compact()
+    return own.read("documents")
+
+
+@query("select doc_id as object_id, case when quality is null then lang else lang || quality end as lang from documents d left join (select doc_id as i, min(quality) as quality from labels group by 1) l on i = doc_id where coalesce(quality, 1) = 1")
+def change_log(spark, d):
+    """The documents after two batches of logged changes: labelled ones are written anew, those of low quality deleted."""
+    docs, own = table(spark, d, "documents").select(F.col("doc_id").alias("object_id"), "lang"), _dataset(spark)
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("object_id")).agg(F.min("quality").alias("quality"))
+    own.commit(documents=docs)
+    changed = docs.join(labels.where("quality is not null"), "object_id")
+    own.log(changed.select((F.col("object_id") + 1).alias("seq"), F.lit("write").alias("op"), "object_id", F.concat("lang", F.col("quality").cast("string")).alias("lang")))
+    own.checkpoint("documents")
+    top = changed.agg(F.max("object_id")).first()[0] or 0
+    own.log(changed.where("quality = 0").select((F.col("object_id") + top + 2).alias("seq"), F.lit("delete").alias("op"), "object_id", F.lit(None).cast("string").alias("lang")))
+    own.checkpoint("documents")
+    return own.read("documents")
+
+
 def _versions(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("object_id"), F.col("turn").alias("version"), F.col("text").alias("content"))
 
