@@ -218,10 +218,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     own = [c for c in (id_col, text_col, "lang", "source", "n_chars") if c in docs.columns]
     key = F.xxhash64(*[x for c in dict.fromkeys(own) for x in (F.col(c), F.col(c).isNull())])
     found = ranked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key")), radius)
-    special = cut(found.groupBy("row_key").agg(F.min("nth").alias("nth"), F.count("*").alias("rows")).where("nth > 1 or rows > 1").withColumnRenamed("row_key", "__row_key"))
-    keyed = docs.withColumn("__row_key", key)
-    again = keyed.join(special.where("nth = 1").select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
-    return keyed.join(special.select("__row_key"), "__row_key", "left_anti").unionByName(again).select(*docs.columns)
+    name = "__row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    special = cut(found.groupBy("row_key").agg(F.min("nth").alias("nth"), F.count("*").alias("rows")).where("nth > 1 or rows > 1").withColumnRenamed("row_key", name))
+    keyed = docs.withColumn(name, key)
+    again = keyed.join(special.where("nth = 1").select(name), name, "left_semi").dropDuplicates([name])
+    return keyed.join(special.select(name), name, "left_anti").unionByName(again).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
