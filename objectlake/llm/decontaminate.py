@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from objectlake.llm.common import SIDE_BYTES, id_text, keep_rows, map_arrow, table, words
 
 #: Least weighted Jaccard similarity of a window and an item; bits in which their fingerprints may differ; bytes of the index.
-THRESHOLD, RADIUS, BLOCKS = 0.4, 26, 8
+THRESHOLD, RADIUS, BLOCKS = 0.4, 28, 8
 SHINGLE, SPAN = 3, 8192
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _MASK_SHIFT = np.uint64(64 - 20)
