@@ -34,7 +34,9 @@ _DIGIT = re.compile(_ONE, re.IGNORECASE)
 _AT = r"(?:at|arroba|arobase|@)"
 _DOT = r"(?:dot|punto|punkt|point|\.)"
 _BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_AT})|{_DOT})[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
-_BARE = re.compile(rf"(?<![\w.+-])[\w.+-]+(?P<at>[ \t]+{_AT}[ \t]+|@)[\w-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w-]+)*?[ \t]+{_DOT}[ \t]+[a-z]{{2,12}}\b", re.IGNORECASE)
+#: Top-level domains after a bare "dot"; those that are words of a language here (at, in, is, it, me, to, us) would turn sentences into addresses.
+_TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|name|mobi|aero|museum|io|ai|app|dev|co|cc|tv|uk|de|fr|es|eu|ch|nl|dk|fi|pl|cz|ru|ua|jp|cn|kr|br|mx|ar|cl|au|nz|ca|ie|pt|gr|tr|za|example|invalid|localhost)"
+_BARE = re.compile(rf"(?<![\w.+-])[\w.+-]+(?P<at>[ \t]+{_AT}[ \t]+|@)[\w-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w-]+)*?[ \t]+{_DOT}[ \t]+{_TLD}\b", re.IGNORECASE)
 _BARE_PART = re.compile(rf"[ \t]+(?:({_AT})|{_DOT})[ \t]+", re.IGNORECASE)
 _BARE_HINT = re.compile(r"[ \t](?:dot|punto|punkt|point)[ \t]", re.IGNORECASE)
 
