@@ -63,7 +63,7 @@ def reputation(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", u
     level3 = hosts.crossJoin(_strength(hosts).select("strength")).join(level2, ["suffix", "domain"])
     rate = _shrunk("bad", "n", "strength", F.col("prior"))
     judged = level3.select("host", "n", rate.alias("rate"), (rate - Z * F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("strength") + 1))).alias("low"))
-    return own.join(judged, "host", "left").select("page_id", "host", F.coalesce("n", F.lit(0)).cast("long").alias("labelled"), F.round("rate", 6).alias("bad_rate"), F.round(F.greatest("low", F.lit(0.0)), 6).alias("bound"), F.coalesce(F.round("low", 6) <= most_bad, F.lit(True)).alias("keep"))
+    return own.join(judged, "host", "left").select("page_id", "host", F.coalesce("n", F.lit(0)).cast("long").alias("labelled"), F.round("rate", 6).alias("bad_rate"), F.when(F.col("low").isNotNull(), F.round(F.greatest("low", F.lit(0.0)), 6)).alias("bound"), F.coalesce(F.round("low", 6) <= most_bad, F.lit(True)).alias("keep"))
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,6 @@ level1 as (select suffix, (bad + strength * rate) / (n + strength) as prior from
 level2 as (select suffix, domain, (bad + strength * prior) / (n + strength) as prior from domains join level1 using (suffix), {_strength_sql("domains")}),
 level3 as (select host, n, strength, (bad + strength * prior) / (n + strength) as rate from hosts join level2 using (suffix, domain), {_strength_sql("hosts")}),
 judged as (select host, n, rate, rate - {Z} * sqrt(rate * (1 - rate) / (n + strength + 1)) as low from level3)
-select page_id, host, cast(coalesce(n, 0) as bigint) as labelled, round(rate, 6) as bad_rate, round(greatest(low, 0.0), 6) as bound, coalesce(round(low, 6) <= {MOST_BAD}, true) as keep
+select page_id, host, cast(coalesce(n, 0) as bigint) as labelled, round(rate, 6) as bad_rate, case when low is not null then round(greatest(low, 0.0), 6) end as bound, coalesce(round(low, 6) <= {MOST_BAD}, true) as keep
 from own left join judged using (host)
 """
