@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,17 @@ def keep_rows(docs: DataFrame, mask: Callable[[pa.RecordBatch], list[bool]]) ->
     return docs.mapInArrow(run, docs.schema)
 
 
+def least(df: DataFrame, key: str, n: int, *ties: str) -> list[Row]:
+    """The n rows with the least hash of `key`, then by `ties`. Only about n rows leave the tasks, however many there are: those below a bound that follows from the count."""
+    h, share = F.xxhash64(key), (n + 4 * math.sqrt(n) + 16) / max(1, df.count())
+    while True:
+        part = df if share >= 1 else df.where(h < int(share * 2**64) - 2**63)
+        rows = part.orderBy(h, key, *ties).limit(n).collect()
+        if len(rows) == n or share >= 1:
+            return rows
+        share *= 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objectlake.llm.bpe import _FAST, _FULL, _PLAIN
-from objectlake.llm.common import id_text, table, workers
+from objectlake.llm.common import id_text, least, table, workers
 
 VOCABULARY = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: Documents to train on and their greatest length in characters; bytes of the dictionary; compression level.
@@ -75,8 +75,7 @@ def encoder(path: str) -> Encoder:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, size: int = DICTIONARY_BYTES) -> bytes:
     """The dictionary; empty when the sample is too small for one."""
     own = id_text(docs, id_col, text_col).where(F.length("text").between(1, train_chars))
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs).collect()
-    samples = [encoder(vocabulary).serialized(r.text) for r in rows]
+    samples = [encoder(vocabulary).serialized(r.text) for r in least(own, "doc_id", train_docs, "text")]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes()
     except zstandard.ZstdError:
