@@ -96,6 +96,33 @@ def test_lsh_finds_itself(spark):
     assert {(r.query_id, r.object_id) for r in top.collect()} == {(f"v{i}", f"v{i}") for i in range(50)}
 
 
+def test_lsh_recall_without_itself(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(600, 64))
+    rows = spark.createDataFrame([(f"v{i}", p.tolist()) for i, p in enumerate(points)], "object_id string, vector array<double>")
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    near = np.argsort(-(unit @ unit.T), axis=1)
+    want = {(f"v{i}", f"v{j}") for i in range(600) for j in near[i, :11] if i != j}
+    got = {(r.query_id, r.object_id) for r in vectors.search_lsh(rows, rows, 11).collect() if r.query_id != r.object_id}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_blocks_are_exact(spark, metric):
+    """Repeated vectors, a zero vector, another length; null and infinite ones are left out."""
+    rng = np.random.default_rng(3)
+    data = [(f"v{i}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(120)] + [("z", [0.0] * 4), ("s", [1.0, 2.0])]
+    rows = spark.createDataFrame(data, "object_id string, vector array<double>")
+    odd = rows.union(spark.createDataFrame([("n", None), ("m", [1.0, None, 0.0, 0.0]), ("i", [float("inf"), 0.0, 0.0, 0.0])], rows.schema))
+    table = lambda df: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all blocks meet in one task, whatever their keys hash to
+    try:
+        assert table(vectors.search_blocks(odd, odd, 7, metric, block_rows=50)) == table(vectors.search_all(rows, rows, 7, metric))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert vectors.search_blocks(rows.limit(0), rows, 3, metric).count() == 0
+
+
 def test_quantize(spark):
     v = [-1.0, -0.5, 0.0, 0.5, 1.0]
     back = one(spark, vector.dequantize(vector.quantize(F.col("v"))), v=v)
