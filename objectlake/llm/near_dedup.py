@@ -5,7 +5,7 @@ times its length (at most 8), so that short function words count little. Equal
 fingerprints are merged first. Every fingerprint then goes into several tries, each with its own
 order of the bits. The first bits of a trie have no error budget: they are the shuffle key, and their
 number follows the logarithm of the number of fingerprints, so that a bucket stays small at any
-size; the number of tries follows from it and from the recall that is asked for. Below that
+size; the number of tries follows from it and from the recall that is asked for of pairs at the radius. Below that
 prefix, pairs of nodes are walked down together, the differing bits of a pair are added up, and a
 pair is left as soon as they exceed `radius`. Of the pairs found in a bucket only a
 spanning forest leaves the task, and connected components of these edges are the groups.
@@ -33,7 +33,7 @@ from objectlake.llm.common import cut, id_text, map_arrow, table, words, workers
 BITS = 128
 #: Pairs of documents whose fingerprints differ in at most this many bits are near copies.
 RADIUS = 22
-#: Bits in which a typical near copy differs (a word in ten replaced), and the share of such pairs to be found.
+#: Bits in which a typical near copy differs (a word in ten replaced), and the share to be found of the pairs that lie right at the radius, the hardest ones.
 TYPICAL, RECALL = 16, 0.97
 
 
@@ -54,12 +54,14 @@ def fingerprint(text: str | None) -> bytes | None:
     return np.packbits(2 * total > weight).tobytes()
 
 
-def orders(n: int) -> tuple[int, list[np.ndarray]]:
-    """(bits of the shared prefix, the order of bits of each trie) for n fingerprints."""
+def orders(n: int, radius: int = RADIUS) -> tuple[int, list[np.ndarray]]:
+    """(bits of the shared prefix, the order of bits of each trie) for n fingerprints: as many tries as let a pair at the radius share the prefix of one of them with a probability of RECALL."""
     prefix = max(8, math.ceil(math.log2(max(n, 2))))
-    equal = math.prod((BITS - TYPICAL - i) / (BITS - i) for i in range(prefix))
+    if not 0 <= radius <= BITS - prefix:
+        raise ValueError(f"a radius of {radius} bits with prefixes of {prefix}")
+    equal = math.prod((BITS - radius - i) / (BITS - i) for i in range(prefix))
     rng = np.random.default_rng(prefix)
-    return prefix, [rng.permutation(BITS) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - equal)))]
+    return prefix, [rng.permutation(BITS) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - equal)) if equal < 1 else 1)]
 
 
 def trie_pairs(bits: np.ndarray, packed: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,7 +138,7 @@ def _join(keys: np.ndarray, rows: np.ndarray, prefix: int, perms: list[np.ndarra
 def edges(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning set of the pairs of distinct fingerprints `fp` within the radius; n: about how many there are."""
     workers(prints.sparkSession)
-    prefix, perms = orders(n)
+    prefix, perms = orders(n, radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -85,6 +85,20 @@ def test_recall_of_the_orders(n):
     assert 2**prefix >= n
 
 
+@pytest.mark.parametrize("n", [2, 50_000, 5_000_000, 30_000_000])
+@pytest.mark.parametrize("radius", [0, N.TYPICAL, N.RADIUS])
+def test_recall_at_the_radius(n, radius):
+    """The farthest pairs that count share a prefix as well, however large the table is."""
+    prefix, perms = N.orders(n, radius)
+    heads = np.zeros((len(perms), N.BITS), np.int32)
+    for head, p in zip(heads, perms):
+        head[p[:prefix]] = 1
+    rng = np.random.default_rng(2)
+    differing = np.stack([np.isin(np.arange(N.BITS), rng.choice(N.BITS, radius, replace=False)) for _ in range(500)]).astype(np.int32)
+    assert ((differing @ heads.T == 0).any(axis=1)).mean() >= 0.94
+    assert len(N.orders(n)[1]) == len(N.orders(n, N.RADIUS)[1])
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     pairs = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)], "a binary, b binary")
