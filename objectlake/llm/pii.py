@@ -1,7 +1,7 @@
 """Personal data: detected behind disguises, reported and redacted at the places of the source text.
 
 Transducers rewrite a text step by step: lookalike letters, full-width forms and invisible characters;
-"name [at] host (dot) tld" and "name at host dot tld"; runs of spelled digits. Each keeps the list of its
+"name [at] host (dot) tld", then in what that gives "name at host dot tld" and mixed forms; runs of spelled digits. Each keeps the list of its
 rewrites, so that a span of the last text is carried back through them to the source text, where
 a rewritten piece counts as a whole. Identifiers are looked for in the last text.
 
@@ -28,7 +28,8 @@ _ODD = re.compile(f"[{''.join(map(re.escape, _LOOKALIKES))}]")
 _DIGITS = {w: str(n) for ws in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for n, w in enumerate(ws.split())} | {"oh": "0"}
 _ONE = "(?:" + "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w))) + "|[0-9])"
 _SPELLED = re.compile(rf"\b{_ONE}(?:[ \t]*[-,.]?[ \t]*\b{_ONE}\b){{3,}}", re.IGNORECASE)
-_SPELLED_HINT = re.compile("(?:" + "|".join(sorted(_DIGITS)) + r")[ \t,.-]+(?:" + "|".join(sorted(_DIGITS)) + r")\b")
+_WORDS = "(?:" + "|".join(sorted(_DIGITS)) + ")"
+_SPELLED_HINT = re.compile(rf"\b{_WORDS}[ \t,.-]+(?:{_WORDS}|[0-9])\b|\b[0-9][ \t,.-]+{_WORDS}\b")
 _DIGIT = re.compile(_ONE, re.IGNORECASE)
 
 _AT = r"(?:at|arroba|arobase|@)"
@@ -36,9 +37,12 @@ _DOT = r"(?:dot|punto|punkt|point|\.)"
 _BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_AT})|{_DOT})[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
 #: Top-level domains after a bare "dot"; those that are words of a language here (at, in, is, it, me, to, us) would turn sentences into addresses.
 _TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|name|mobi|aero|museum|io|ai|app|dev|co|cc|tv|uk|de|fr|es|eu|ch|nl|dk|fi|pl|cz|ru|ua|jp|cn|kr|br|mx|ar|cl|au|nz|ca|ie|pt|gr|tr|za|example|invalid|localhost)"
-_BARE = re.compile(rf"(?<![\w.+-])[\w.+-]+(?P<at>[ \t]+{_AT}[ \t]+|@)[\w-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w-]+)*?[ \t]+{_DOT}[ \t]+{_TLD}\b", re.IGNORECASE)
+_SEPARATOR = rf"(?:[ \t]+{_DOT}[ \t]+|\.)"
+_BARE = re.compile(rf"(?<![\w.+-])(?P<name>[\w.+-]+)(?P<at>[ \t]+{_AT}[ \t]+|@)[\w-]+(?:{_SEPARATOR}[\w-]+)*{_SEPARATOR}{_TLD}\b", re.IGNORECASE)
 _BARE_PART = re.compile(rf"[ \t]+(?:({_AT})|{_DOT})[ \t]+", re.IGNORECASE)
-_BARE_HINT = re.compile(r"[ \t](?:dot|punto|punkt|point)[ \t]", re.IGNORECASE)
+_BARE_HINT = re.compile(rf"[ \t](?:(?:dot|punto|punkt|point)[ \t]|{_AT}[ \t]+[\w-]+\.)", re.IGNORECASE)
+#: Words before "at" and a site written with plain dots ("look at example.com") that aren't the name of an address.
+_PROSE = frozenset("a an and are available be been bought buy by call directly docs documentation documented down download downloaded email find found free go have help here hosted i in info information is it join learn live located look looked looking mail me meet more now of on online or order out page pages published purchase read register released see seen shop sign site store team that the them there these they this those today up us visit was we website welcome were you".split())
 
 Edit = tuple[int, int, str]
 
@@ -76,11 +80,18 @@ def _lookalikes(text: str) -> list[Edit]:
     return [(m.start(), m.end(), _LOOKALIKES[m[0]]) for m in _ODD.finditer(text)] if not text.isascii() else []
 
 
-def _disguises(text: str) -> list[Edit]:
-    edits = [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)] if any(c in text for c in "[({<") else []
-    if not edits and _BARE_HINT.search(text):
+def _bracketed(text: str) -> list[Edit]:
+    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)] if any(c in text for c in "[({<") else []
+
+
+def _bare(text: str) -> list[Edit]:
+    edits: list[Edit] = []
+    if _BARE_HINT.search(text):
         for m in _BARE.finditer(text):
-            edits += [(p.start(), p.end(), "@" if p[1] else ".") for p in _BARE_PART.finditer(text, m.start(), m.end())]
+            parts = list(_BARE_PART.finditer(text, m.start(), m.end()))
+            if len(parts) == 1 and parts[0][1] and m["name"].lower() in _PROSE:
+                continue
+            edits += [(p.start(), p.end(), "@" if p[1] else ".") for p in parts]
     return edits
 
 
@@ -123,7 +134,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     steps, now = [], text
-    for rewrite in (_lookalikes, _disguises, _spelled):
+    for rewrite in (_lookalikes, _bracketed, _bare, _spelled):
         step = Step(now, rewrite(now))
         if step.edits:
             steps.append(step)

@@ -49,6 +49,33 @@ def test_spans_lead_back_through_all_steps():
     assert found(text) == [("jane [at] exаmple [dot] com", "EMAIL"), ("four one five five five five zero one three two", "PHONE"), ("bob@site.org", "EMAIL")]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("bob [at] site [dot] org and jane at example dot com", ["bob [at] site [dot] org", "jane at example dot com"]),
+        ("a (point) first, then jane at example dot com", ["jane at example dot com"]),
+        ("mail jane [at] example dot com now", ["jane [at] example dot com"]),
+        ("mail jane at example [dot] com now", ["jane at example [dot] com"]),
+        ("mail jane (at) mail dot example (dot) com now", ["jane (at) mail dot example (dot) com"]),
+        ("mail jane at example.com now", ["jane at example.com"]),
+        ("mail jane.doe @ mail.example.com.", ["jane.doe @ mail.example.com"]),
+        ("mail jane at example.co dot uk now", ["jane at example.co dot uk"]),
+    ],
+)
+def test_bracketed_and_bare_in_one_text(text, want):
+    assert found(text) == [(w, "EMAIL") for w in want]
+
+
+@pytest.mark.parametrize("number", ["four 1 five 5 five 5 five zero 1 three 2", "4 one 5 five 5 five 5 zero 1 three 2", "4 1 5 5 5 5 5 0 1 3 two"])
+def test_spelled_digits_that_alternate_with_figures(number):
+    assert found(f"call {number} today") == [(number, "PHONE")]
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "it is available at docs.example.org.", "he arrived at 9.30 and at noon. Then", "write to us at example.com"])
+def test_sites_after_at_stay(text):
+    assert found(text) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab1@.-+ [](){}​аｏ(dot)ONEone two 5five"), max_size=80))
 def test_spans_are_ordered_and_apart(text):
