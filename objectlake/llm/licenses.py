@@ -4,7 +4,8 @@ The automaton has every run of tokens of every template. A document's tokens are
 time; the state after each gives the longest run that ends there and occurs in a template (the
 matching statistic). Runs of MIN_RUN tokens and more that can't be extended become
 anchors; for each template, anchors that follow each other in the document and in the template,
-at most GAP tokens apart, are chained, and a chain that covers enough of the template is a finding.
+at most GAP tokens apart, are chained, and a chain that covers enough of the template is a finding, if the words and versions
+that tell the licence from its relatives (Affero, Lesser, NC, 1.1) are those of the template.
 Stretches of a document without MIN_RUN known tokens in a row can't hold an anchor and are skipped.
 
 Defined cases: null and empty texts have no findings. A licence that occurs several times in a
@@ -15,8 +16,10 @@ ids may be null; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,60 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_MIT_TAIL = (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_REST = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_TAIL = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, '
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def _header(what: str, name: str, version: str, mark: str = ";") -> str:
+    return f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{',' if mark == ':' else ';'} either version {version} of the License, or (at your option) any later version."
+
+
+_OF = {n: [t for m, t in TEMPLATES if m == n] for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+TEMPLATES += [
+    ("MIT", _OF["MIT"][2] + _MIT_TAIL),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_REST),
+    ("BSD-3-Clause", _OF["BSD-3-Clause"][0].removesuffix(_BSD_TAIL) + _BSD_REST),
+    ("ISC", _OF["ISC"][0] + _ISC_TAIL),
+    ("GPL-2.0", _header("program", "General Public License", "2")),
+    ("LGPL-2.0", _header("library", "Library General Public License", "2")),
+    ("LGPL-2.1", _header("library", "Lesser General Public License", "2.1")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", _header("program", "Lesser General Public License", "3", ":")),
+    ("AGPL-3.0", _header("program", "Affero General Public License", "3", ":")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    *[(f"CC-{'-'.join(k)}-4.0", f"Licensed under CC {'-'.join(k)} 4.0.") for k in (("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND"))],
+    *[
+        (f"CC-BY-{short}-4.0", f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License.")
+        for short, long in (("SA", "ShareAlike"), ("ND", "NoDerivatives"), ("NC", "NonCommercial"), ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"))
+    ],
+    *[(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted((files("objectlake.llm") / "license_texts").iterdir(), key=lambda f: f.name)],
+]
+
+#: What tells a licence from its relatives: words of its name, and versions. Templates of more than NOTICE tokens are whole texts, told by their titles.
+_NAMED = re.compile(r"\b(?:(affero)|(lesser)|(library)\s+general|(nc|non-?commercial)|(sa|share-?alike)|(nd|no-?deriv\w*))\b", re.IGNORECASE)
+_VERSION = re.compile(r"(?:\b(?:version|v|by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives|bsd)|public\s+license)[\s.,]*([0-9]+(?:\.[0-9]+)*)", re.IGNORECASE)
+NOTICE, TITLE = 200, 12
+
+
+def _named(text: str) -> set[int]:
+    return {m.lastindex for m in _NAMED.finditer(text)}
+
+
+def _versions(text: str) -> set[str]:
+    return {re.sub(r"(?:\.0)+$", "", v) for v in _VERSION.findall(text)}
 
 
 class Automaton:
@@ -125,6 +182,15 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s}))}
         self.automaton = Automaton([[self.ids[w] for w in s] for s in sequences])
         self.min_run, self.gap, self.cover = min_run, gap, cover
+        titles = [" ".join(ws[:TITLE]) if len(ws) > NOTICE else t for ws, (_, t) in zip(sequences, templates)]
+        self.named, self.versions = [_named(t) for t in titles], [_versions(t) if n <= NOTICE else set() for n, t in zip(self.size, titles)]
+
+    def fits(self, text: str, at: list[tuple[int, int]], template: int, chain: tuple[int, int, int, int, int]) -> bool:
+        """Whether the stretch of the text has the template's name and version, not those of a relative."""
+        d0, d1, t0, *_ = chain
+        if self.size[template] > NOTICE:
+            return t0 >= TITLE or _named(text[at[max(0, d0 - 3)][0] : at[min(len(at), d0 + TITLE) - 1][1]]) == self.named[template]
+        return _named(text[at[d0][0] : at[d1 - 1][1]]) == self.named[template] and self.versions[template] <= _versions(text[at[d0][0] : at[min(len(at), d1 + 2) - 1][1]])
 
     def anchors(self, ws: list[str]) -> dict[int, list[tuple[int, int, int]]]:
         """By template: (first token in the document, first in the template, length) of each run that can't be extended."""
@@ -146,10 +212,11 @@ class Scanner:
         """(first and end token in the document, first and end in the template, tokens covered), best first, without overlaps."""
         anchors = sorted(anchors)
         best, back = [a[2] for a in anchors], [-1] * len(anchors)
+        longest = max(best, default=0)
         for i, (d, t, n) in enumerate(anchors):
             for j in range(i - 1, -1, -1):
                 dj, tj, nj = anchors[j]
-                if d - dj > self.gap + max(self.size):
+                if d - dj > self.gap + longest:
                     break
                 # anchors may overlap by a few tokens; the later one then counts without them
                 lap = max(0, dj + nj - d, tj + nj - t)
@@ -169,14 +236,14 @@ class Scanner:
         """(licence, first and end character, first and end token of the template, share of the template) of each finding."""
         if not (by := self.anchors(words(text))):
             return []
-        found = []
+        found, at = [], None
         for t, anchors in by.items():
             if sum(a[2] for a in anchors) >= self.cover * self.size[t]:
-                found += [(c[4], self.names[t], t, c) for c in self.chains(anchors) if c[4] >= self.cover * self.size[t]]
-        out, at = [], None
+                at = at or spans(text)
+                found += [(c[4], self.names[t], t, c) for c in self.chains(anchors) if c[4] >= self.cover * self.size[t] and self.fits(text, at, t, c)]
+        out = []
         for covered, name, t, (d0, d1, t0, t1, _) in sorted(found, key=lambda x: (-x[0], -x[0] / self.size[x[2]], x[1], x[2], x[3])):
             if all(d1 <= a or d0 >= b for _, _, (a, b), *_ in out):
-                at = at or spans(text)
                 out.append((name, t, (d0, d1), at[d0][0], at[d1 - 1][1], t0, t1, round(covered / self.size[t], 6)))
         return sorted(((n, a, b, t0, t1, c) for n, _, _, a, b, t0, t1, c in out), key=lambda x: x[1:])
 

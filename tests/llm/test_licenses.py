@@ -71,6 +71,52 @@ def test_repeated_text_of_one_licence(scanner):
     assert [g[0] for g in scanner.scan(text)] == ["MIT"] * 300
 
 
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This program is free software: " + _GNU.format("Affero", "3"), ["AGPL-3.0"]),
+        ("This program is free software: " + _GNU.format("Lesser", "3"), ["LGPL-3.0"]),
+        ("This program is free software; " + _GNU.format("", "2"), ["GPL-2.0"]),
+        ("This library is free software; " + _GNU.format("Lesser", "2.1"), ["LGPL-2.1"]),
+        ("This program is free software: " + _GNU.format("", "3"), ["GPL-3.0"]),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("Licensed under the BSD 2-Clause License.", []),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ],
+)
+def test_relatives_are_told_apart(scanner, text, want):
+    assert [g[0] for g in scanner.scan(text)] == want
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"])
+def test_whole_texts(scanner, name):
+    """Found as one stretch, also with a word in fifty replaced."""
+    text = max((t for n, t in L.TEMPLATES if n == name), key=len)
+    assert len(words(text)) > 700
+    ws = text.split()
+    ws[25::50] = ["xyz"] * len(ws[25::50])
+    (got,) = scanner.scan(" ".join(ws))
+    assert got[0] == name
+    assert got[5] > 0.9
+
+
+def test_affero_text_is_no_gpl(scanner):
+    text = max((t for n, t in L.TEMPLATES if n == "GPL-3.0"), key=len).replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    assert "GPL-3.0" not in [g[0] for g in scanner.scan(text) if g[2] - g[1] > 5000]
+
+
+def test_whole_mit_with_its_warranty(scanner):
+    text = max((t for n, t in L.TEMPLATES if n == "MIT"), key=len)
+    (got,) = scanner.scan(f"Copyright 2020 {text} end")
+    assert text.endswith("DEALINGS IN THE SOFTWARE.")
+    assert words(f"Copyright 2020 {text} end"[got[1] : got[2]]) == words(text)
+
+
 def test_table(spark):
     data = docs(spark, odd((20, "Released under the MIT License."), (None, "Released under the MIT License."), (20, "Released under the MIT License.")))
     got = rows(L.scan(data), "doc_id", "license", "start", "end", "coverage")
