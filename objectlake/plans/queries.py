@@ -549,6 +549,24 @@ def knn_euclidean(spark, d):
     return vectors.search_all(_vectors(spark, d), _probe(spark, d), 10, "euclidean").select("object_id", F.round("score", 6).alias("score"))
 
 
+def _all_sql(function: str, order: str) -> str:
+    return f"with {_V}, s as (select q.object_id as query_id, v.object_id, {function}(v.vector, q.vector) as score from v, v q) select query_id, object_id, round(score, 6) as score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score {order}, object_id) as rank from s) where rank <= 10"
+
+
+@query(_all_sql("list_cosine_similarity", "desc"))
+def knn_cosine_all(spark, d):
+    """knn_cosine with every vector as a query."""
+    v = _vectors(spark, d)
+    return vectors.search_blocks(v, v, 10).select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_all_sql("list_distance", "asc"))
+def knn_euclidean_all(spark, d):
+    """knn_euclidean with every vector as a query."""
+    v = _vectors(spark, d)
+    return vectors.search_blocks(v, v, 10, "euclidean").select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"with {_V}, s as (select q.object_id as query_id, v.object_id, list_cosine_similarity(v.vector, q.vector) as score from v, v q) select query_id, object_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, object_id) r from s) where r <= 5 and query_id <> object_id")
 def similar_to(spark, d):
     """Every vector's 5 nearest, of which itself is then left out."""
