@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 128
+_PRINTABLE = np.zeros(256, bool)
+_PRINTABLE[[9, 10, 12, 13, 32, *range(33, 127)]] = True
 STATS = T.StructType([T.StructField("algo", T.StringType()), T.StructField("original", T.LongType()), T.StructField("compressed", T.LongType()), T.StructField("ratio", T.DoubleType())])
 VECTOR = T.ArrayType(T.DoubleType())
 
 
 def choose(data: bytes) -> str:
-    """none under 64 bytes; rle where runs in the first KiB are long; delta where neighbours are close; dict for text; else fast."""
+    """none under 64 bytes; rle where runs in the first KiB are long; delta where neighbours are close; dict for text; else fast (LZ4)."""
     if len(data) < 64:
         return "none"
     raw = np.frombuffer(data, np.uint8)
@@ -27,8 +29,7 @@ def choose(data: bytes) -> str:
         return "rle"
     if (steps < 4).mean() > 0.8:
         return "delta"
-    printable = ((raw >= 33) & (raw <= 126)) | np.isin(raw, (9, 10, 12, 13, 32))
-    return "dict" if printable.mean() > 0.9 else "fast"
+    return "dict" if _PRINTABLE[raw].mean() > 0.9 else "fast"
 
 
 def rle(data: bytes) -> bytes:
@@ -66,7 +67,7 @@ def compress(data: bytes, algo: str) -> bytes:
     if algo == "dict":
         return b"\x03" + len(data).to_bytes(4, "little") + data
     if algo == "fast":
-        return b"\x04" + len(data).to_bytes(4, "little") + zlib.compress(data, 1)
+        return b"\x04" + len(data).to_bytes(4, "little") + pa.compress(data, codec="lz4_raw", asbytes=True)
     return data
 
 
@@ -77,7 +78,7 @@ def decompress(data: bytes, algo: str) -> bytes:
         return undelta(data)
     if algo == "dict":
         return data[5:]
-    return zlib.decompress(data[5:]) if algo == "fast" else data
+    return pa.decompress(data[5:], decompressed_size=int.from_bytes(data[1:5], "little"), codec="lz4_raw", asbytes=True) if algo == "fast" else data
 
 
 @F.pandas_udf(STATS)

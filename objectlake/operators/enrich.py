@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objectlake.functions import text as T
-from objectlake.schema import attribute
-from objectlake.sources.tables import union
+from objectlake.schema import attributes_of
 
 
 def analyze(rows: DataFrame) -> DataFrame:
@@ -25,12 +24,11 @@ def enrich(rows: DataFrame) -> DataFrame:
     a = analyze(rows)
     oid = F.col("object_id")
     parts = [("_detected_type", "string", F.col("detected_type")), ("_extracted_text", "string", F.col("extracted_text")), ("_auto_tags", "string", F.when(F.size("tags") > 0, F.array_join("tags", ", "))), ("_language", "string", F.col("language")), ("_quality", "float64", F.col("quality")), ("_summary", "string", F.col("summary"))]
-    return union([attribute(a.where(value.isNotNull()), oid, name, tag, value) for name, tag, value in parts])
+    return attributes_of(a, oid, parts)
 
 
 def profile(rows: DataFrame) -> DataFrame:
     """Attribute rows content_type, encoding, role, language and quality of rows with these columns; language only where it is known, tags never."""
     oid = F.col("object_id")
     parts = [("content_type", "string", F.col("content_type")), ("encoding", "string", F.coalesce("encoding", F.lit("utf8"))), ("role", "string", F.coalesce("role", F.lit("unknown"))), ("quality", "float64", F.coalesce("quality", F.lit(0.0)))]
-    known = attribute(rows.where("language is not null"), oid, "language", "string", F.col("language"))
-    return union([*[attribute(rows, oid, n, t, v) for n, t, v in parts], known])
+    return attributes_of(rows, oid, [*parts, ("language", "string", F.col("language"))])

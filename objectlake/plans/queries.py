@@ -535,49 +535,38 @@ def _vectors(spark, d):
 _V = "v as (select vec_id::varchar as object_id, embedding::double[] as vector from embeddings)"
 
 
-def _probe(spark, d):
-    return _vectors(spark, d).where("object_id = '0'")
+#: Searches take every row whose id is divisible by this as a query, against all rows.
+EVERY = 50
 
 
-@query(f"with {_V} select v.object_id, round(list_cosine_similarity(v.vector, q.vector), 6) as score from v, (select vector from v where object_id = '0') q order by list_cosine_similarity(v.vector, q.vector) desc, v.object_id limit 10")
-def knn_cosine(spark, d):
-    return vectors.search_all(_vectors(spark, d), _probe(spark, d), 10).select("object_id", F.round("score", 6).alias("score"))
-
-
-@query(f"with {_V} select v.object_id, round(list_distance(v.vector, q.vector), 6) as score from v, (select vector from v where object_id = '0') q order by list_distance(v.vector, q.vector), v.object_id limit 10")
-def knn_euclidean(spark, d):
-    return vectors.search_all(_vectors(spark, d), _probe(spark, d), 10, "euclidean").select("object_id", F.round("score", 6).alias("score"))
+def _asking(spark, d):
+    return _vectors(spark, d).where(F.col("object_id").cast("long") % EVERY == 0)
 
 
-def _all_sql(function: str, order: str) -> str:
-    return f"with {_V}, s as (select q.object_id as query_id, v.object_id, {function}(v.vector, q.vector) as score from v, v q) select query_id, object_id, round(score, 6) as score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score {order}, object_id) as rank from s) where rank <= 10"
+def _search_sql(function: str, order: str, k: int = 10, more: str = "", columns: str = "query_id, object_id, round(score, 6) as score, cast(rank as integer) as rank") -> str:
+    return f"""with {_V}, s as (select q.object_id as query_id, v.object_id, {function}(v.vector, q.vector) as score from v, v q where q.object_id::bigint % {EVERY} = 0)
+    select {columns} from (select *, row_number() over (partition by query_id order by score {order}, object_id) as rank from s) where rank <= {k}{more}"""
 
 
-@query(_all_sql("list_cosine_similarity", "desc"))
-def knn_cosine_all(spark, d):
-    """knn_cosine with every vector as a query."""
-    v = _vectors(spark, d)
-    return vectors.search_blocks(v, v, 10).select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
+@query(_search_sql("list_cosine_similarity", "desc"))
+def knn_cosine(spark, d):
+    return vectors.search_blocks(_vectors(spark, d), _asking(spark, d), 10).select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_all_sql("list_distance", "asc"))
-def knn_euclidean_all(spark, d):
-    """knn_euclidean with every vector as a query."""
-    v = _vectors(spark, d)
-    return vectors.search_blocks(v, v, 10, "euclidean").select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
+@query(_search_sql("list_distance", "asc"))
+def knn_euclidean(spark, d):
+    return vectors.search_blocks(_vectors(spark, d), _asking(spark, d), 10, "euclidean").select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"with {_V}, s as (select q.object_id as query_id, v.object_id, list_cosine_similarity(v.vector, q.vector) as score from v, v q) select query_id, object_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, object_id) r from s) where r <= 5 and query_id <> object_id")
+@query(_search_sql("list_cosine_similarity", "desc", 5, " and query_id <> object_id", "query_id, object_id, round(score, 6) as score"))
 def similar_to(spark, d):
-    """Every vector's 5 nearest, of which itself is then left out."""
-    v = _vectors(spark, d)
-    return vectors.search_all(v, v, 5).where("query_id <> object_id").select("query_id", "object_id", F.round("score", 6).alias("score"))
+    """The 5 nearest of each query, of which itself is then left out."""
+    return vectors.search_blocks(_vectors(spark, d), _asking(spark, d), 5).where("query_id <> object_id").select("query_id", "object_id", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query(_search_sql("list_cosine_similarity", "desc"))
 def knn_lsh(spark, d):
-    v = _vectors(spark, d)
-    return vectors.search_lsh(v, v, 10).select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
+    return vectors.search_lsh(_vectors(spark, d), _asking(spark, d), 10).select("query_id", "object_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("select vec_id, list_transform(embedding::double[], lambda x: greatest(0.0, least(255.0, trunc((x + 1) * 127.5)))::int) as q from embeddings")
@@ -594,8 +583,8 @@ def dequantize_error(spark, d):
 
 @query("select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm from embeddings where len(embedding) = 64")
 def vector_insert(spark, d):
-    """Vectors of the index's dimension, each id once."""
-    own = table(spark, d, "embeddings").where(F.size("embedding") == 64).dropDuplicates(["vec_id"])
+    """Vectors of the index's dimension, each id once: of several the least."""
+    own = table(spark, d, "embeddings").where(F.size("embedding") == 64).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return own.select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
 
 

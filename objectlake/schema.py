@@ -33,6 +33,14 @@ def attribute(objects: DataFrame, object_id: Column, name: str, tag: str, value:
     return objects.select(object_id.alias("object_id"), F.lit(name).alias("name"), F.lit(tag).alias("tag"), *value_columns(tag, value), (meta() if about is None else about).alias("meta"))
 
 
+def attributes_of(objects: DataFrame, object_id: Column, values: list[tuple[str, str, Column]]) -> DataFrame:
+    """Attribute rows of several (name, tag, value) of each row, in one pass; null values give none."""
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(tag).alias("tag"), *value_columns(tag, value)) for name, tag, value in values])
+    there = [c for c, _ in (x for x in TAGS.values() if x)]
+    rows = objects.select(object_id.alias("object_id"), F.inline(F.filter(each, lambda x: F.greatest(*[x[c].isNotNull() for c in there]))))
+    return rows.withColumn("meta", meta())
+
+
 def read_as(tag: str) -> Column:
     """The value of an attribute row if it carries the tag, else null."""
     column, kind = TAGS[tag]

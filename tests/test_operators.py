@@ -123,12 +123,12 @@ def test_blocks_are_exact(spark, metric):
     assert vectors.search_blocks(rows.limit(0), rows, 3, metric).count() == 0
 
 
-@pytest.mark.parametrize("name", ["knn_cosine_all", "knn_euclidean_all"])
-def test_every_vector_is_a_query(spark, name):
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_euclidean"])
+def test_every_fiftieth_vector_is_a_query(spark, name):
     from objectlake.plans import queries
     from tests.conftest import SF_DIR
 
-    ids = {str(r.vec_id) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id").collect()}
+    ids = {str(r.vec_id) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 50 == 0}
     got = queries.queries()[name](spark, SF_DIR).groupBy("query_id").count().collect()
     assert {r.query_id for r in got} == ids
     assert {r["count"] for r in got} == {10}
