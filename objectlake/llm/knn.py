@@ -1,20 +1,24 @@
-"""Exact nearest neighbours of every vector, with a KD-tree in each shard.
+"""Exact nearest neighbours, with a KD-tree in each shard.
 
 Vectors are sharded by the cells of a coarse KD-tree over a bounded sample, cells that hold more than
 `shard_rows` vectors by the hash of the id as well; the sample only affects speed. Each shard gets a tree of median splits
-along the widest side, whose nodes keep the tight bounding boxes of their points. A shard first answers its own
-vectors, which gives each query a kth distance. With that bound, a query goes on to those shards only whose box it
-reaches, and visits their leaves from the nearest box outwards until the next box is farther than
-its kth distance. Visits are batched: all queries whose next leaf is the same are compared with it together.
+along the widest side, whose nodes keep the tight bounding boxes of their points. A query visits shards in the order
+of the distance of their boxes, in rounds: the nearest one first, then a few, then the rest. After each round its kth distance
+is the bound for the next, so that it goes on only to shards whose box it reaches. Within a shard it
+visits the leaves from the nearest box outwards until the next box is farther than its kth distance. Visits are batched:
+all queries whose next leaf is the same are compared with it by one product of matrices; what may be near enough by
+that is then measured exactly.
 
-Work is cut into pairs of a shard and a block of queries, both of bounded size. The boxes of the shards
-are held by each worker in slices of at most SIDE_BYTES.
+Queries are all vectors, or those whose id is divisible by `every`, against all vectors. Work is cut into
+pairs of a shard and a block of queries, both of bounded size, and a tree is sent only to blocks
+that have queries for it. The boxes of the shards are held by each worker in slices of at most SIDE_BYTES.
 
 Distances are Euclidean, in double precision; equal ones are ordered by id. Exact: same result as brute force.
 
 Defined cases: rows with a null id, a null vector, a null or non-finite component, or another dimension than
 most vectors have (of equally common ones the greatest) are neither queries nor neighbours. Of rows with the same id the least vector
-counts. With fewer than k others, there are fewer neighbours. Further columns are not read.
+counts. With fewer than k others, there are fewer neighbours. An empty table, and one without usable vectors, gives an empty result.
+Further columns are not read, so that texts of any length don't matter.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import SIDE_BYTES, cut, table, workers
+from objectlake.llm.common import SIDE_BYTES, cut, least, table, workers
 
-K, SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE = 10, 16_384, 16_384, 96, 8192
+#: Neighbours; vectors in a shard, queries in a block, points in a leaf; rows that the cells are cut on; of these ids every so many is a query in op5.
+K, SHARD_ROWS, BLOCK_ROWS, LEAF, SAMPLE, EVERY = 10, 16_384, 16_384, 512, 8192, 50
+#: How many shards a query has visited after each round.
+ROUNDS = (1, 4)
 
 
 class Tree:
@@ -65,7 +72,7 @@ class Tree:
         """Distances and ids of the k nearest points that have another id and are not farther than the squared limit; inf and -1 where there are fewer."""
         n = len(queries)
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-        slack = 1e-9 * (1 + (queries * queries).sum(axis=1))
+        slack = 1e-9 * (1 + (queries * queries).sum(axis=1) + (self.norms.max() if len(self.norms) else 0.0))
         leaves_q, leaves_n, leaves_b = [], [], []
         for at in range(0, n, 2048):  # down the tree; whole subtrees beyond the limit fall away
             q = np.arange(at, min(n, at + 2048))
@@ -105,7 +112,10 @@ class Tree:
         for a in range(0, len(points), 4096):  # a leaf of equal points can be of any size
             p = points[a : a + 4096]
             rough = (own * own).sum(axis=1)[:, None] + self.norms[rows][a : a + 4096][None, :] - 2 * own @ p.T
-            i, j = np.nonzero(rough <= (np.minimum(limit[q], best_d[q, -1]) + slack[q])[:, None])
+            bound = np.minimum(limit[q], best_d[q, -1]) + slack[q]
+            if len(p) > 2 * k:  # of so many points only the k nearest can matter, and those of about the same distance; one may be the query itself
+                bound = np.minimum(bound, np.partition(rough, k, axis=1)[:, k] + 2 * slack[q])
+            i, j = np.nonzero(rough <= bound[:, None])
             other = self.ids[rows][a : a + 4096][j] != ids[q[i]]
             i, j = i[other], j[other]
             d = own[i] - p[j]
@@ -153,8 +163,8 @@ def _route(x: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarra
     return -1 - at
 
 
-def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, side_bytes: int = SIDE_BYTES) -> DataFrame:
-    """(vec_id, rank, neighbour, distance) for each vector."""
+def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 1, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, side_bytes: int = SIDE_BYTES) -> DataFrame:
+    """(vec_id, rank, neighbour, distance) for each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     workers(spark)
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -163,8 +173,8 @@ def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
     empty = spark.createDataFrame([], "vec_id long, rank int, neighbour long, distance double")
     if sizes is None or k < 1:
         return empty
-    own = own.where(F.size("v") == sizes["dim"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = np.array([r.v for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
+    own = cut(own.where(F.size("v") == sizes["dim"]).groupBy("vec_id").agg(F.min("v").alias("v")))
+    sample = np.array([r.v for r in least(own, "vec_id", SAMPLE)])
     nodes = _cells(sample, -(-sizes["count"] // shard_rows))
 
     @F.pandas_udf("int")
@@ -185,60 +195,62 @@ def nearest(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col:
 
     trees = cut(sharded.groupBy("shard").applyInPandas(build, "shard int, tree binary, low array<double>, high array<double>"))
 
-    def itself(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, blob in zip(pdf.shard, pdf.tree):
-                tree = pickle.loads(blob)
-                for at in range(0, len(tree.ids), block_rows):
-                    q, ids = tree.points[at : at + block_rows], tree.ids[at : at + block_rows]
-                    d, i = tree.search(q, ids, k, np.full(len(q), np.inf))
-                    yield pd.DataFrame({"vec_id": ids, "v": list(q), "shard": shard, "limit": d[:, -1], "d": list(d), "i": list(i)})
-
-    # a row holds a whole shard, so that a batch has to be a single row
-    start = cut(trees.select("shard", "tree").repartition("shard").groupBy("shard").applyInPandas(lambda pdf: pd.concat(list(itself(iter([pdf])))), "vec_id long, v array<double>, shard int, limit double, d array<double>, i array<long>"))
-    found = start.select("vec_id", "d", "i")
-    blocks = sizes["count"] // block_rows + 1
+    def answer(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(trees):
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "d": np.zeros(0), "neighbour": np.zeros(0, np.int64)})
+        tree, ids = pickle.loads(trees.tree.iloc[0]), queries.vec_id.to_numpy()
+        limit = queries.limit.to_numpy() ** 2
+        d, i = tree.search(np.stack(queries.v.to_list()), ids, k, np.where(np.isfinite(limit), limit * (1 + 1e-12), np.inf))
+        there = np.isfinite(d)
+        return pd.DataFrame({"vec_id": np.repeat(ids, there.sum(axis=1)), "d": d[there], "neighbour": i[there]})
+
+    asking = own.where(F.col("vec_id") % every == 0)
+    blocks = (sizes["count"] if every == 1 else asking.count()) // block_rows + 1
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "neighbour"))
+    best = None  # (vec_id, d, neighbour), k rows a query at most
     n_slices = len(sample[0]) * 16 * sum(parts.values()) // side_bytes + 1
     for s in range(n_slices):
         mine = trees.where(F.pmod("shard", F.lit(n_slices)) == s)
         boxes = sorted(mine.select("shard", "low", "high").collect())
+        if not boxes:
+            continue
         names, low, high = np.array([b.shard for b in boxes]), np.array([b.low for b in boxes]), np.array([b.high for b in boxes])
-
-        def reach(batches: Iterator[pd.DataFrame], names: np.ndarray = names, low: np.ndarray = low, high: np.ndarray = high) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v, limit = np.stack(pdf.v.to_list()), pdf.limit.to_numpy() ** 2
-                for b, name in enumerate(names):
-                    d = np.maximum(np.maximum(low[b] - v, v - high[b]), 0)
-                    go = ((d * d).sum(axis=1) <= limit + 1e-9 * (1 + (v * v).sum(axis=1))) & (pdf.shard.to_numpy() != name)
-                    if go.any():
-                        yield pdf.loc[go, ["vec_id", "v", "limit"]].assign(shard=int(name))
-
-        asked = start.select("vec_id", "v", "shard", "limit").mapInPandas(reach, "vec_id long, v array<double>, limit double, shard int").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        there = mine.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-        def answer(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            if not len(queries):
-                return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "d": pd.Series([], dtype=object), "i": pd.Series([], dtype=object)})
-            tree = pickle.loads(trees.tree.iloc[0])
-            limit = queries.limit.to_numpy() ** 2
-            d, i = tree.search(np.stack(queries.v.to_list()), queries.vec_id.to_numpy(), k, np.where(np.isfinite(limit), limit * (1 + 1e-12), np.inf))
-            return pd.DataFrame({"vec_id": queries.vec_id.to_numpy(), "d": list(d), "i": list(i)})
-
-        found = found.unionByName(there.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "vec_id long, d array<double>, i array<long>"))
-    each = found.select("vec_id", F.explode(F.arrays_zip("d", "i")).alias("x")).select("vec_id", F.col("x.d").alias("d"), F.col("x.i").alias("neighbour")).where("neighbour >= 0 or d < double('inf')")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "neighbour"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", F.round("d", 6).alias("distance"))
+        turns = [0, *(r for r in ROUNDS if r < len(boxes)), len(boxes)]
+        for begin, end in zip(turns, turns[1:]):
+
+            def reach(batches: Iterator[pd.DataFrame], names: np.ndarray = names, low: np.ndarray = low, high: np.ndarray = high, begin: int = begin, end: int = end) -> Iterator[pd.DataFrame]:
+                """Each query with those of its begin-th to end-th nearest boxes that are within its limit."""
+                for pdf in batches:
+                    for at in range(0, len(pdf), 256):
+                        part = pdf.iloc[at : at + 256]
+                        v, limit = np.stack(part.v.to_list()), part.limit.to_numpy() ** 2
+                        far = np.empty((len(part), len(names)))
+                        for b in range(len(names)):
+                            d = np.maximum(np.maximum(low[b] - v, v - high[b]), 0)
+                            far[:, b] = np.einsum("ij,ij->i", d, d)
+                        order = np.argsort(far, axis=1, kind="stable")[:, begin:end]
+                        near = np.take_along_axis(far, order, axis=1) <= (limit + 1e-9 * (1 + (v * v).sum(axis=1)))[:, None]
+                        q, nth = np.nonzero(near)
+                        yield part.iloc[q].assign(shard=names[order[q, nth]].astype(np.int32))
+
+            bound = None if best is None else best.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.max("d")).alias("limit"))
+            asked = asking.withColumn("limit", F.lit(float("inf"))) if bound is None else asking.join(bound, "vec_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+            asked = cut(asked.select("vec_id", "v", "limit").mapInPandas(reach, "vec_id long, v array<double>, limit double, shard int").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
+            needed = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
+            there = mine.select("shard", "tree").join(needed, F.col("shard") == F.col("to_shard")).select("to_shard", "to_block", "tree")
+            found = there.groupBy("to_shard", "to_block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "vec_id long, d double, neighbour long")
+            best = cut((found if best is None else best.unionByName(found)).withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "d", "neighbour"))
+    return empty if best is None else best.withColumn("rank", rank).select("vec_id", "rank", "neighbour", F.round("d", 6).alias("distance"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    """The neighbours of each vector whose id is divisible by EVERY, among all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 SQL = f"""
 with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-pairs as (select a.vec_id, b.vec_id as neighbour, list_distance(a.e, b.e) as d from v a join v b on a.vec_id <> b.vec_id),
+pairs as (select a.vec_id, b.vec_id as neighbour, list_distance(a.e, b.e) as d from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
 ranked as (select *, row_number() over (partition by vec_id order by d, neighbour) as rank from pairs)
 select vec_id, cast(rank as integer) as rank, neighbour, round(d, 6) as distance from ranked where rank <= {K}
 """

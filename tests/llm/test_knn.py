@@ -40,6 +40,28 @@ def test_same_as_brute_force(spark, dim, shard_rows):
     same(K.nearest(vectors(spark, points), 7, shard_rows=shard_rows, block_rows=50), brute(points, 7))
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 12])
+def test_some_queries_against_all(spark, shard_rows):
+    rng = np.random.default_rng(8)
+    points = [(int(i), rng.normal(size=5)) for i in range(-20, 180)]
+    same(K.nearest(vectors(spark, points), 6, every=10, shard_rows=shard_rows, block_rows=8), [r for r in brute(points, 6) if r[0] % 10 == 0])
+
+
+def test_visits_are_bounded_by_the_kth_distance():
+    """In few dimensions most leaves are never looked at, and the result is that of brute force."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(20_000, 3))
+    tree, seen = K.Tree(points, np.arange(20_000), leaf=64), []
+    visit = tree._visit
+    tree._visit = lambda leaf, q, *more: (seen.append(len(q)), visit(leaf, q, *more))
+    d, i = tree.search(points[:200], np.arange(200), 10, np.full(200, np.inf))
+    assert sum(seen) < 200 * len(tree.start) / 2 * 0.1
+    far = np.sqrt(((points[:200, None] - points[None]) ** 2).sum(axis=2))
+    far[np.arange(200), np.arange(200)] = np.inf
+    assert np.allclose(d, np.sort(far, axis=1)[:, :10])
+    assert (i == np.argsort(far, axis=1)[:, :10]).all()
+
+
 def test_slices_of_the_boxes(spark):
     rng = np.random.default_rng(4)
     points = [(i, rng.normal(size=4)) for i in range(150)]
