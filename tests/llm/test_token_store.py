@@ -73,16 +73,29 @@ def test_dictionary_helps_short_documents(spark):
     assert sum_of(S.train(data)) < 0.9 * sum_of(b"")
 
 
-def test_no_documents_to_train_on(spark):
+def test_no_documents_to_train_on(spark, other):
     data = docs(spark, [(1, "a text"), (2, None)])
     assert S.train(data) == b""
     assert S.train(data.limit(0)) == b""
     got = {r.doc_id: r for r in S.frames(data, b"").collect()}
     assert got[1].dictionary == ""
-    assert np.array_equal(S.ids(bytes(got[1].frame), b""), S.ids(bytes(got[1].frame), b""))
+    assert S.ids(bytes(got[1].frame), b"").tolist() == other.encode("a text", add_special_tokens=False).ids
     assert S.frames(data.limit(0), b"").count() == 0
 
 
-def test_same_dictionary_whatever_the_partitions(spark):
+def test_same_ids_whatever_the_partitions(spark):
     data = docs(spark, corpus())
-    assert S.train(data.repartition(7)) == S.train(data.coalesce(1))
+    found = []
+    for part in (data.repartition(7), data.coalesce(1)):
+        dictionary = S.train(part)
+        found.append(sorted((r.doc_id, S.ids(bytes(r.frame), dictionary).tolist()) for r in S.frames(part, dictionary).collect()))
+    assert found[0] == found[1]
+
+
+def test_all_documents_count(spark):
+    """Dictionaries of many stretches are merged, in rounds, and what only the last documents have is in it as well."""
+    data = docs(spark, [*corpus(3000), *((5000 + i, f"zyxwvut qqponml kjjihgf {i} edcbazz yyxxwwv " * 2) for i in range(2000))]).coalesce(2)
+    rounds, size = S.train(data, stretch=10_000), lambda d: sum(r.length for r in S.frames(data.where("doc_id >= 5000"), d).collect())
+    assert rounds == S.train(data, stretch=10_000)
+    assert size(rounds) < 0.8 * size(b"")
+    assert size(S.train(data)) < 0.7 * size(b"")
