@@ -5,8 +5,9 @@ Transducers rewrite a text step by step: lookalike letters, full-width forms and
 rewrites, so that a span of the last text is carried back through them to the source text, where
 a rewritten piece counts as a whole. Identifiers are looked for in the last text.
 
-Defined cases: a null text stays null, with no spans; an empty one stays empty. Of overlapping findings the kind that comes first in KINDS stays, then the
-one further left. Rows are independent of each other: ids may be null or repeated. Further columns are not read.
+Defined cases: a null text stays null, with no spans; an empty one stays empty. Very long texts are read whole, in time that grows with their length.
+Of overlapping findings the kind that comes first in KINDS stays, then the
+one further left. Rows are independent of each other: ids may be null or repeated. An empty table gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -62,6 +63,11 @@ class Step:
                 at = b
             self.text = "".join([*parts, text[at:]])
 
+    def made(self, start: int, end: int) -> bool:
+        """Whether a rewrite made a part of this span of the text after."""
+        i = bisect_right(self.starts, end - 1) - 1
+        return i >= 0 and self.starts[i] + len(self.edits[i][2]) > start
+
     def back(self, start: int, end: int) -> tuple[int, int]:
         """The span of the text before that the span of the text after comes from."""
 
@@ -124,21 +130,41 @@ KINDS = [
     ("IP", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"), None),
     ("IP", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"), None),
     ("SSN", re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"), None),
-    ("PHONE", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-]|\.[0-9])"), lambda m: 9 <= len(_digits(m)) <= 15 and (m[0] in "+(" or not re.fullmatch(r"(?:1[89]|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}.*", m))),
+    ("PHONE", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?|1[ .-])?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-]|\.[0-9])"), None),
 ]
+#: A word right before a number that says whose it is.
+_CALLED = re.compile(r"\b(?:tel|t[ée]l[ée]phone|telefono|tel[ée]fono|telefon|phone|mobile|m[óo]vil|cell|handy|portable|fax|whatsapp|sms|call|dial|ring|text|appelez|llame|llama|anrufen|ruf)\b\W{0,3}(?:(?:no|nr|number|num[ée]ro|n[úu]mero|nummer|us|me|at|on|is)\b\W{0,3}){0,2}$", re.IGNORECASE)
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}")
 _WORTH = re.compile(r"[0-9@]|(?i:token|key|secret|passw|pwd)")
 
 
+def _is_phone(number: str, before: str, spelled: bool) -> bool:
+    """Whether a number is written as telephone numbers are: with a country or area code, in groups of 3, 3 and 4, from 0 on in groups, after such a word, or in spelled digits.
+
+    Other runs of digits (orders, amounts, ISBN) are left alone.
+    """
+    groups = re.findall("[0-9]+", number)
+    if not 9 <= sum(map(len, groups)) <= 15:
+        return False
+    if number[0] in "+(" or spelled:
+        return True
+    if _DATE.match(number):
+        return False
+    shape = tuple(map(len, groups))
+    return shape in ((3, 3, 4), (1, 3, 3, 4)) or (groups[0][0] == "0" and len(groups) > 1) or bool(_CALLED.search(before))
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the source text, from left to right."""
     if not text:
         return []
-    steps, now = [], text
+    steps, now, spelled = [], text, None
     for rewrite in (_lookalikes, _bracketed, _bare, _spelled):
         step = Step(now, rewrite(now))
         if step.edits:
             steps.append(step)
             now = step.text
+            spelled = step if rewrite is _spelled else None
     if not _WORTH.search(now):
         return []
     digits, at = any(c in now for c in "0123456789"), "@" in now
@@ -151,6 +177,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if test and not test(m[group]):
                 continue
             start, end = m.span(group)
+            if kind == "PHONE" and not _is_phone(m[0], now[max(0, start - 40) : start], spelled is not None and spelled.made(start, end)):
+                continue
             for step in reversed(steps):
                 start, end = step.back(start, end)
             if all(end <= a or start >= b for a, b, _ in found):

@@ -76,6 +76,42 @@ def test_sites_after_at_stay(text):
     assert found(text) == []
 
 
+@pytest.mark.parametrize("text", ["order 123456789 items", "amount 12 345 678 90 in all", "ISBN 978 0306 4061 57 printed", "id 4155550132", "between 1000 2000 3000 and 4000 people", "in 2024 01 30 12 30 00", "serial 555-12-34-56-78"])
+def test_other_numbers_stay(text):
+    assert found(text) == []
+
+
+@pytest.mark.parametrize("number, text", [("4155550132", "call me at {}"), ("415 555 0132", "it is {} then"), ("030 1234 5678", "Büro {} oder"), ("06 12 34 56 78", "le {} ou"), ("0049 301 234 567", "und {} an"), ("12 345 678 90", "Tel. Nr. {} bitte"), ("+49 30 1234567", "on {} now"), ("1-415-555-0132", "or {} please")])
+def test_telephone_numbers(number, text):
+    assert found(text.format(number)) == [(number, "PHONE")]
+
+
+def _plain_mails(text):
+    """All addresses with each disguise undone by hand, one place at a time: at, dot and brackets around them."""
+    import re
+
+    at, dot = r"(?:@| ?[\[(] ?at ?[\])] ?| at )", r"(?:\.| ?[\[(] ?dot ?[\])] ?| dot )"
+    return [m[0] for m in re.finditer(rf"[a-z]+\d*{at}[a-z]+(?:{dot}[a-z]+)*{dot}(?:com|org)", text)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_same_as_brute_force_over_disguises(seed):
+    """Every mixture of disguises of at and dot, between words that are no part of an address."""
+    import random
+
+    rng = random.Random(seed)
+    ats, dots = ["@", " [at] ", " (at) ", "[at]", " at "], [".", " [dot] ", " (dot) ", "(dot)", " dot "]
+    parts, want = [], []
+    for n in range(8):
+        parts.append(prose(100 * seed + n, rng.randint(1, 12)))
+        mail = f"user{n}{rng.choice(ats)}mail{rng.choice(dots)}example{rng.choice(dots)}{rng.choice(('com', 'org'))}"
+        parts.append(mail)
+        want.append(mail)
+    text = " ".join(parts)
+    assert found(text) == [(w, "EMAIL") for w in want]
+    assert _plain_mails(text) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab1@.-+ [](){}​аｏ(dot)ONEone two 5five"), max_size=80))
 def test_spans_are_ordered_and_apart(text):
