@@ -8,7 +8,7 @@ at most GAP tokens apart, are chained, and a chain that covers enough of the tem
 that tell the licence from its relatives (Affero, Lesser, NC, 1.1) are those of the template.
 Stretches of a document without MIN_RUN known tokens in a row can't hold an anchor and are skipped.
 
-Defined cases: null and empty texts have no findings. A licence that occurs several times in a
+Defined cases: null and empty texts have no findings; an empty table gives an empty result. Very long texts are read whole, in time that grows with their length. A licence that occurs several times in a
 document is found each time. A finding inside a longer one of another template is left out; of equal
 ones the template that comes first in the alphabet stays. Repeated rows each give their own findings;
 ids may be null; further columns are not read.
@@ -17,6 +17,7 @@ ids may be null; further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from importlib.resources import files
@@ -175,6 +176,23 @@ class Automaton:
             yield state, length
 
 
+class _Free:
+    """Stretches that don't overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the stretch is free; then it no longer is."""
+        i = bisect_left(self.starts, end)  # those before i begin before the end
+        if i and self.ends[i - 1] > start:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], min_run: int, gap: int, cover: float) -> None:
         self.names, sequences = [n for n, _ in templates], [words(t) for _, t in templates]
@@ -211,7 +229,7 @@ class Scanner:
     def chains(self, anchors: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
         """(first and end token in the document, first and end in the template, tokens covered), best first, without overlaps."""
         anchors = sorted(anchors)
-        best, back = [a[2] for a in anchors], [-1] * len(anchors)
+        best, head = [a[2] for a in anchors], list(range(len(anchors)))
         longest = max(best, default=0)
         for i, (d, t, n) in enumerate(anchors):
             for j in range(i - 1, -1, -1):
@@ -221,16 +239,12 @@ class Scanner:
                 # anchors may overlap by a few tokens; the later one then counts without them
                 lap = max(0, dj + nj - d, tj + nj - t)
                 if dj < d and tj < t and lap < n and d - (dj + nj) <= self.gap and best[j] + n - lap > best[i]:
-                    best[i], back[i] = best[j] + n - lap, j
-        used: list[tuple[int, int]] = []
+                    best[i], head[i] = best[j] + n - lap, head[j]
+        free = _Free()
         for i in sorted(range(len(anchors)), key=lambda i: (-best[i], i)):
-            first = i
-            while back[first] >= 0:
-                first = back[first]
-            d0, d1 = anchors[first][0], anchors[i][0] + anchors[i][2]
-            if all(d1 <= a or d0 >= b for a, b in used):
-                used.append((d0, d1))
-                yield d0, d1, anchors[first][1], anchors[i][1] + anchors[i][2], best[i]
+            d0, d1 = anchors[head[i]][0], anchors[i][0] + anchors[i][2]
+            if free.take(d0, d1):
+                yield d0, d1, anchors[head[i]][1], anchors[i][1] + anchors[i][2], best[i]
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, int, float]]:
         """(licence, first and end character, first and end token of the template, share of the template) of each finding."""
@@ -241,11 +255,11 @@ class Scanner:
             if sum(a[2] for a in anchors) >= self.cover * self.size[t]:
                 at = at or spans(text)
                 found += [(c[4], self.names[t], t, c) for c in self.chains(anchors) if c[4] >= self.cover * self.size[t] and self.fits(text, at, t, c)]
-        out = []
+        out, free = [], _Free()
         for covered, name, t, (d0, d1, t0, t1, _) in sorted(found, key=lambda x: (-x[0], -x[0] / self.size[x[2]], x[1], x[2], x[3])):
-            if all(d1 <= a or d0 >= b for _, _, (a, b), *_ in out):
-                out.append((name, t, (d0, d1), at[d0][0], at[d1 - 1][1], t0, t1, round(covered / self.size[t], 6)))
-        return sorted(((n, a, b, t0, t1, c) for n, _, _, a, b, t0, t1, c in out), key=lambda x: x[1:])
+            if free.take(d0, d1):
+                out.append((name, at[d0][0], at[d1 - 1][1], t0, t1, round(covered / self.size[t], 6)))
+        return sorted(out, key=lambda x: x[1:])
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, gap: int = GAP, cover: float = COVER) -> DataFrame:

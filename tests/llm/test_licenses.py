@@ -71,6 +71,61 @@ def test_repeated_text_of_one_licence(scanner):
     assert [g[0] for g in scanner.scan(text)] == ["MIT"] * 300
 
 
+def test_time_of_many_findings(scanner):
+    """Twenty thousand notices in one text take no more than in proportion."""
+    import time
+
+    took = []
+    for n in (2000, 20_000):
+        began = time.time()
+        assert len(scanner.scan("Released under the MIT License. See the file. " * n)) == n
+        took.append(time.time() - began)
+    assert took[1] < 25 * took[0] + 2
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_against_all_chains(scanner, seed):
+    """The best chain is the best of all that keep the rules; no two overlap."""
+    rng = random.Random(seed)
+    anchors = sorted({(rng.randint(0, 60), rng.randint(0, 30), rng.randint(3, 8)) for _ in range(9)})
+
+    def follow(a, b):
+        lap = max(0, a[0] + a[2] - b[0], a[1] + a[2] - b[1])
+        return b[2] - lap if a[0] < b[0] and a[1] < b[1] and lap < b[2] and b[0] - (a[0] + a[2]) <= scanner.gap else None
+
+    def longest(end):
+        return max([end[2], *(longest(a) + more for a in anchors if (more := follow(a, end)) is not None)])
+
+    got = list(scanner.chains(anchors))
+    assert got[0][4] == max(map(longest, anchors))
+    assert [g[4] for g in got] == sorted((g[4] for g in got), reverse=True)
+    assert all(a[1] <= b[0] or b[1] <= a[0] for i, a in enumerate(got) for b in got[i + 1 :])
+
+
+def _plain_scan(text, template, min_run=3):
+    """Share of the template that the longest run of its tokens in the text covers, by comparison of all places."""
+    a, b = words(text), words(template)
+    best = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            best = max(best, n)
+    return best / len(b)
+
+
+@pytest.mark.parametrize("cut", [0, 2, 5, 9, 14])
+def test_same_as_brute_force_where_a_run_decides(cut):
+    """One template, of whose end words are missing: found exactly where the longest run covers enough."""
+    template = " ".join(f"w{i}" for i in range(20))
+    one = L.Scanner([("X", template)], L.MIN_RUN, L.GAP, L.COVER)
+    text = f"{prose(cut, 30)} {' '.join(template.split()[: 20 - cut])} {prose(cut + 1, 30)}"
+    share = _plain_scan(text, template)
+    got = one.scan(text)
+    assert [g[5] for g in got] == ([round(share, 6)] if share >= L.COVER else [])
+
+
 _GNU = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 
 
