@@ -3,16 +3,19 @@
 A text is split by the vocabulary's pattern; the distinct pieces of a stretch of texts become
 rows (piece, position, token), one per byte. The recursive query joins neighbouring tokens with
 the merge table, takes for each piece its leftmost pair of least rank, contracts it, and
-goes on until no piece has a pair left. Pieces beyond SHORT bytes go through a second query that
+goes on until no piece has a pair left. Pieces beyond SHORT bytes, which take one step for each of their
+pairs that way, go through a second query that
 contracts all occurrences of the least pair in a step, in rounds, so that even a text without
-any space stays affordable. Texts are put together from the ids of their pieces. Decoding joins
+any space stays affordable. The result is the same: a contraction makes a token that merges of a higher rank only can
+take up, so that the other occurrences of the pair are the least ones still (the tests hold both queries against
+contraction one by one). Texts are put together from the ids of their pieces. Decoding joins
 the ids with the vocabulary and aggregates in order.
 
 Pieces already seen are remembered, at most REMEMBER of them, by each Python worker; that saves
 time and never changes a result.
 
 Defined cases: a null text has null tokens and null decoded text; an empty one has an empty list
-and an empty text. Ids can be null or repeated: rows are independent. Other columns are not read.
+and an empty text; an empty table gives an empty result. Of equal pairs in a piece the leftmost comes first. Ids can be null or repeated: rows are independent. Other columns are not read.
 """
 
 from __future__ import annotations

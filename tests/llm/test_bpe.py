@@ -40,6 +40,40 @@ def test_any_text(own, other, text):
     assert own.encode([text])[0].tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_rise(own):
+    """Every merge that takes up what another one makes has a higher rank: all occurrences of the least pair can be contracted at once."""
+    assert own.con.sql("select count(*) from merges a join merges b on a.made in (b.l, b.r) where b.rank <= a.rank").fetchall() == [(0,)]
+
+
+def _one_by_one(own, piece, ranks):
+    """Contraction of the leftmost pair of least rank until there is none."""
+    tok = own.byte_ids[np.frombuffer(piece.encode(), np.uint8)].tolist()
+    while True:
+        pairs = [(ranks[p][0], i) for i, p in enumerate(zip(tok, tok[1:])) if p in ranks]
+        if not pairs:
+            return tok
+        _, i = min(pairs)
+        tok[i : i + 2] = [ranks[tok[i], tok[i + 1]][1]]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(st.sampled_from("abeinrst=-aaab"), min_size=10, max_size=150), st.integers(0, 3))
+def test_long_pieces_one_by_one(own, text, kind):
+    """Both queries against contraction one by one: pieces on both sides of SHORT, and long ones of few letters."""
+    piece = (text * 2, "a" * len(text) + text, text, text[:7] * 25)[kind]
+    if not hasattr(own, "ranks"):
+        own.ranks = {(a, b): (r, m) for a, b, r, m in own.con.sql("select l, r, rank, made from merges").fetchall()}
+    want = _one_by_one(own, piece, own.ranks)
+    assert np.frombuffer(dict(own.pieces([piece]))[piece], "<i4").tolist() == want
+    whole, cut = B.SHORT, len(piece.encode())
+    if cut <= whole:  # the second query on what the first one takes
+        B.SHORT = 0
+        try:
+            assert np.frombuffer(dict(own.pieces([piece]))[piece], "<i4").tolist() == want
+        finally:
+            B.SHORT = whole
+
+
 def test_results_don_t_depend_on_what_is_remembered(own, monkeypatch):
     monkeypatch.setattr(B, "REMEMBER", 50)
     monkeypatch.setattr(B, "STRETCH", 300)
