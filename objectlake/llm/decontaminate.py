@@ -1,7 +1,7 @@
 """Benchmark decontamination: documents that contain an item of a benchmark, exactly or nearly.
 
-For an item of L words, each window of L words of a document is compared with it. Both are bags of
-word triples (of all words, for an item of one or two), weighted by the length of their words.
+For an item of L words, each window of L words of a document is compared with it. Both are sets of
+word triples (of all words, for an item of one or two), weighted by the length of their words; the fingerprint counts a triple as often as it occurs.
 A window's 64-bit SimHash comes from prefix sums over the document. A multi-index finds
 the items near a window: each fingerprint falls into BLOCKS bytes, and of two that differ in at most RADIUS
 bits at least one byte differs in at most RADIUS // BLOCKS; a table per byte has all items within that
@@ -9,11 +9,13 @@ many bits, so that no item within the radius is missed. The weighted Jaccard sim
 such pair decides.
 
 Windows are only built where they can matter, which loses nothing: a window can't reach
-`threshold` unless the document has triples of the item that make up that share of the item's weight.
+`threshold` unless the document has triples of the item that make up that share of the item's weight. That test is what selects: at a
+similarity of `threshold` fingerprints differ in 20 of 64 bits on average, so that the radius has to be wide, and the multi-index
+at that radius lets most windows of such documents through to the distance, which a fifth of unrelated windows passes.
 
-The benchmark is held by each worker up to `side_bytes` of text; a larger one is gone through in slices.
+The benchmark is held by each worker up to `side_bytes` of text, which its indexes make some sixty times as large; a larger one is gone through in slices.
 
-Defined cases: null or wordless texts and items match nothing. A document that is shorter than
+Defined cases: null or wordless texts and items match nothing. Very long texts are read whole, SPAN windows at a time. A document that is shorter than
 an item is one window. Of equally similar windows the first counts. Repeated rows
 each give their own result; ids may be null; empty tables give no rows; further columns are not read.
 """
@@ -29,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import SIDE_BYTES, id_text, keep_rows, map_arrow, table, words
+from objectlake.llm.common import id_text, keep_rows, map_arrow, table, words
 
 #: Least weighted Jaccard similarity of a window and an item; bits in which their fingerprints may differ; bytes of the index.
 THRESHOLD, RADIUS, BLOCKS = 0.4, 28, 8
 SHINGLE, SPAN = 3, 8192
+#: Bytes of items' text that a worker holds at a time.
+SIDE_BYTES = 4 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _MASK_SHIFT = np.uint64(64 - 20)
 
