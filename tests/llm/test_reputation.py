@@ -73,3 +73,23 @@ def test_least_of_several_labels(spark):
 def test_empty(spark):
     p, l = _hosts(spark)
     assert R.reputation(p.limit(0), l).count() == 0
+
+
+def test_suffixes(spark):
+    """The cases that the list's own site gives for its rules."""
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "com": ("com", "com"), "x.example.com": ("com", "example.com"),
+        "a.b.c.ck": ("c.ck", "b.c.ck"), "www.ck": ("ck", "www.ck"), "a.www.ck": ("ck", "www.ck"), "ck": ("ck", "ck"),
+        "b.city.kobe.jp": ("kobe.jp", "city.kobe.jp"), "a.b.c.kobe.jp": ("c.kobe.jp", "b.c.kobe.jp"), "me.github.io": ("github.io", "me.github.io"),
+        "host.unlisted": ("unlisted", "host.unlisted"), "localhost": ("localhost", "localhost"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "a.b.com.sg": ("com.sg", "b.com.sg"),
+        "shop.xn--55qx5d.cn": ("xn--55qx5d.cn", "shop.xn--55qx5d.cn"),
+    }
+    got = R.registered(spark.createDataFrame([(h, 1) for h in want], "host string, n int"))
+    assert {r.host: (r.suffix, r.domain) for r in got.collect()} == want
+    own = R.registered(spark.createDataFrame([("a.b.c",)], "host string"), ["b.c"]).first()
+    assert (own.suffix, own.domain) == ("b.c", "a.b.c")
+
+
+def test_empty_pages(spark):
+    p, l = _hosts(spark)
+    assert R.reputation(p.limit(0), l).count() == 0
