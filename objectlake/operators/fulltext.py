@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from objectlake.functions.text import tokens
@@ -52,5 +52,11 @@ def search_any_term(index: DataFrame, query: str) -> DataFrame:
     return index.where(F.col("term").isin(terms)).groupBy("object_id").agg(F.sum(F.col("freq") * _times(terms)).cast("long").alias("score"))
 
 
+def ranked(hits: DataFrame, n: int) -> DataFrame:
+    """(object_id, score, rank) of the n best hits, of equally good ones by id."""
+    best = hits.orderBy(F.desc("score"), "object_id").limit(n)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "object_id")))  # n rows at most
+
+
 def vocabulary_size(index: DataFrame) -> DataFrame:
     return index.agg(F.count_distinct("term").alias("n_terms"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from objectlake.session import cut
@@ -26,6 +26,23 @@ def _at(edges: DataFrame, end: str, ids: list[str] | DataFrame, kind: str | None
     return found.join(ids.select(F.col("object_id").alias(end)), end, "left_semi").select(edges.columns)
 
 
+def appended(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with new ones (src, dst, kind, strength, label), whose places follow the last one of their source, in the order of dst; the same edge may be there twice."""
+    last = edges.groupBy("src").agg(F.max("pos").alias("last"))
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst", "kind"))
+    placed = new.withColumn("nth", nth).join(last, "src", "left").withColumn("pos", (F.coalesce("last", F.lit(-1)) + F.col("nth")).cast("int"))
+    return edges.unionByName(placed.select(edges.columns))
+
+
+def created(collections: DataFrame, names: DataFrame) -> DataFrame:
+    """(collection_id, name) with those of the names that are new, numbered on from the greatest id, from 1 where there is none."""
+    from objectlake.operators.lifecycle import sequenced
+
+    top = collections.agg(F.coalesce(F.max("collection_id"), F.lit(0)).alias("top"))
+    fresh = sequenced(names.select("name").distinct().join(collections.select("name"), "name", "left_anti"), "name")
+    return collections.unionByName(fresh.crossJoin(top).select((F.col("nth") + F.col("top")).cast("long").alias("collection_id"), "name"))  # top is one row
+
+
 def degrees(objects: DataFrame, edges: DataFrame) -> DataFrame:
     """(object_id, n_out, n_in) of every object."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("object_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("object_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")

@@ -25,6 +25,11 @@ def checksum_mismatch(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.crc32(F.col("payload").cast("binary")) != F.col("checksum"))
 
 
+def readable(blocks: DataFrame) -> DataFrame:
+    """Blocks whose stored checksum is that of their payload; the others are skipped."""
+    return blocks.where(F.crc32(F.col("payload").cast("binary")) == F.col("checksum"))
+
+
 def _count(df: DataFrame, name: str, test: Column | None = None) -> DataFrame:
     return (df if test is None else df.where(test)).agg(F.count("*").alias(name))
 

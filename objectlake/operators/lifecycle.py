@@ -36,6 +36,12 @@ def sequenced(log: DataFrame, *order: str) -> DataFrame:
     return ranges.join(F.broadcast(offsets), "__range").withColumn("nth", F.col("__id") + F.col("shift") + 1).drop("__range", "__id", "shift")
 
 
+def flushes(log: DataFrame, size: int) -> DataFrame:
+    """(batch, n, first_seq, last_seq, flushed): the log in the order of seq, cut at every `size` entries; a last batch that isn't full waits."""
+    batch = F.floor((F.col("nth") - 1) / size).cast("long")
+    return sequenced(log, "seq").groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), (F.count("*") >= size).alias("flushed"))
+
+
 def patterns(log: DataFrame, session: str | None = None) -> DataFrame:
     """(a, b, next, freq, first_nth): how often `next` was confirmed after the pair (a, b), as the log was written.
 

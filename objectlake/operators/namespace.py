@@ -79,6 +79,33 @@ def truncated(content: Column, size: int) -> Column:
     return F.rpad(F.substring(content.cast("binary"), 1, size), size, F.lit(bytearray(b"\0"))) if size else F.lit(bytearray())
 
 
+def read_at(content: Column, offset: int, size: int) -> Column:
+    """At most `size` bytes from an offset on; none beyond the end."""
+    return F.substring(content.cast("binary"), offset + 1, size)
+
+
+def with_attributes(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """(object_id, mode, size, blocks, mtime_ns) with what `changes` sets; null leaves it as it is."""
+    both = stats.join(changes.select("object_id", *[F.col(c).alias(f"__{c}") for c in ("mode", "size", "mtime_ns")]), "object_id", "left")
+    own = {c: F.coalesce(f"__{c}", c) for c in ("mode", "size", "mtime_ns")}
+    return both.select("object_id", own["mode"].alias("mode"), own["size"].alias("size"), F.ceil(own["size"] / 512).cast("long").alias("blocks"), own["mtime_ns"].alias("mtime_ns"))
+
+
+FILE_TYPES = {"file": "-", "dir": "d", "symlink": "l", "fifo": "p", "block": "b", "char": "c"}
+
+
+def file_type(code: Column) -> Column:
+    """The type with a numeric code; null for others."""
+    return F.try_element_at(F.array(*map(F.lit, FILE_TYPES)), (code + 1).cast("int"))
+
+
+def shown_mode(kind: Column, bits: Column) -> Column:
+    """A type and nine bits as they are listed: drwxr-xr-x."""
+    first = F.create_map(*[F.lit(x) for pair in FILE_TYPES.items() for x in pair])[kind]
+    each = [F.when(bits.bitwiseAND(1 << i) > 0, "xwr"[i % 3]).otherwise("-") for i in range(8, -1, -1)]
+    return F.concat(first, *each)
+
+
 def new_id(kind: str, parent: Column, name: Column) -> Column:
     """The id of a directory ("dir") or file ("file") that is made in a parent."""
     return F.sha2(F.concat(F.lit(f"{kind}:"), parent, F.lit("/"), name), 256)

@@ -40,6 +40,19 @@ def replay(log: DataFrame, checkpoint: int = 0) -> DataFrame:
     return last.where("op = 'write'").drop("op")
 
 
+def committed(journal: DataFrame) -> DataFrame:
+    """(seq, session, payload) of the entries of transactions that were begun and committed. journal: seq, session, op (begin, add, commit or abort), payload.
+
+    A transaction of a session goes from its begin to the next begin, commit or abort; only the last but one counts.
+    """
+    marks = F.col("op").isin("begin", "commit", "abort")
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    spans = journal.withColumn("span", F.coalesce(F.sum(F.when(marks, 1).otherwise(0)).over(before), F.lit(0)))
+    ends = spans.groupBy("session", "span").agg(F.max(F.when(marks, F.col("op"))).alias("ending")).where("ending = 'commit'")
+    opened = spans.where("op = 'begin'").select("session", (F.col("span") + 1).alias("span"))
+    return spans.where("op = 'add'").join(ends, ["session", "span"]).join(opened, ["session", "span"]).select("seq", "session", "payload")
+
+
 def upsert(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """rows with those of `changes` in place of the ones with the same keys."""
     return rows.join(changes.select(keys).distinct(), keys, "left_anti").select(rows.columns).unionByName(changes.select(rows.columns))

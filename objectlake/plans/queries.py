@@ -33,12 +33,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    from objectlake.plans import changes  # noqa: F401 - its queries are added here
+
+    return _QUERIES
+
+
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _QUERIES.items()}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _QUERIES.items() if s}
+    return {k: s for k, (_, s) in _all().items() if s}
 
 
 # Scans, sources and sinks
@@ -877,7 +883,8 @@ def ref_mismatch(spark, d):
 
 
 @query("select c_nationkey::varchar as object_id, count(*) as n from customer group by 1 having count(*) > 1")
-def snapshot_checks(spark, d):
+def duplicate_ids(spark, d):
+    """Customers by the id of their nation, which is no key of theirs."""
     return integrity.duplicate_ids(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("object_id")))
 
 

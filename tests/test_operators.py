@@ -388,3 +388,32 @@ def test_wide_predicates(spark):
 def test_checksums(spark):
     blocks = spark.createDataFrame([("123456789", 0xCBF43926), ("123456789", 1)], "payload string, checksum long")
     assert [r.checksum for r in integrity.checksum_mismatch(blocks).collect()] == [1]
+
+
+def test_committed_entries(spark):
+    """Begun and committed counts; aborted, begun anew, left open or never begun doesn't; sessions don't mix."""
+    ops = ["add", "begin", "add", "add", "commit", "add", "begin", "add", "abort", "begin", "add", "begin", "add", "commit", "commit", "begin", "add"]
+    rows = [(n, s, op, n) for n, op in enumerate(ops) for s in (1, 2)]
+    got = versions.committed(spark.createDataFrame(rows, "seq long, session long, op string, payload long")).collect()
+    assert sorted((r.session, r.seq) for r in got) == [(s, n) for s in (1, 2) for n in (2, 3, 12)]
+
+
+def test_semantic_predicates(spark):
+    """The nearest texts by brute force over their embeddings."""
+    data = [(f"o{n}", f"{w} {v} text") for n, (w, v) in enumerate((w, v) for w in ("alpha", "beta", "gamma", "delta") for v in ("house", "garden", "horse", "window", "licence"))] + [("none", None)]
+    texts = spark.createDataFrame(data, "object_id string, text string")
+    from objectlake.schema import attribute
+
+    attributes = attribute(texts.where("text is not null"), F.col("object_id"), "content", "string", F.col("text"))
+    tables = Tables(texts.select("object_id"), attributes, texts=texts)
+    vec = {i: np.array(codec.embed(t)) for i, t in data if t}
+
+    def near(v, k):
+        return sorted(vec, key=lambda i: (-float(vec[i] @ v), i))[:k]
+
+    ids = lambda p: {r.object_id for r in compile(p, tables).collect()}
+    query = np.array(codec.embed("gamma horse"))
+    assert ids(Semantic("gamma horse", 4)) == set(near(query, 4))
+    assert ids(SimilarTo("o3", 4)) == set(near(vec["o3"], 4)) - {"o3"}
+    assert ids(And((Semantic("gamma horse", 6), Contains("content", "horse")))) == {i for i in near(query, 6) if "horse" in dict(data)[i]}
+    assert ids(Or((SimilarTo("o3", 3), Contains("content", "beta")))) == (set(near(vec["o3"], 3)) - {"o3"}) | {i for i, t in data if t and "beta" in t}

@@ -175,3 +175,25 @@ def test_late_data_is_dropped(spark, tmp_path):
     assert [r.n for r in found] == [2]  # the last file came too late, and the other window is still open
     sliding = access.settle(access.windows(stream, "2 days", "1 day"), "update", ("start", "end", "object_id"))
     assert sliding.count() >= 4
+
+
+def test_late_changes_count(dataset, spark):
+    """A batch that comes late with smaller numbers is taken in, but doesn't undo a later change of the same object."""
+    log = lambda *rows: dataset.log(spark.createDataFrame(list(rows), "seq long, op string, object_id string, v long"))
+    log((10, "write", "a", 1), (11, "write", "c", 1), (12, "delete", "c", None))
+    dataset.checkpoint("t")
+    log((5, "write", "b", 2), (4, "write", "a", 9), (6, "write", "c", 9))
+    assert dataset.pending().count() == 3
+    dataset.checkpoint("t")
+    assert dataset.pending().count() == 0
+    assert {r.object_id: r.v for r in dataset.read("t").collect()} == {"a": 1, "b": 2}
+    log((13, "write", "c", 3), (14, "delete", "a", None))
+    dataset.checkpoint("t")
+    assert {r.object_id: r.v for r in dataset.read("t").collect()} == {"b": 2, "c": 3}
+
+
+def test_a_file_is_put_once(dataset):
+    dataset._put("manifests/x.json", {"a": 1})
+    with pytest.raises(Conflict):
+        dataset._put("manifests/x.json", {"a": 2})
+    assert dataset._get("manifests/x.json") == {"a": 1}
