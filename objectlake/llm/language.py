@@ -1,21 +1,21 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
 Each word of a document is a node; its label is a language. Node scores come from affixes, character
-bigrams and trigrams, the word itself, lexicons of each language's most frequent words, and
-shape; they are hashed into a table of weights. A matrix of transitions is learned with them.
-Forward-backward over the whole document gives each word's distribution.
+bigrams and trigrams of the whole word, the word itself, lexicons of each language's most frequent words, and
+shape; they are hashed into a table of weights. A matrix of transitions is learned with them, free of any
+normalisation. Forward-backward over the whole document gives each word's distribution.
 
-The field is fitted on the driver, on at most `train_docs` documents of each language, of at most
-`train_words` words each (short ones, so that the sample's size is bounded; each is used whole), those with the least hash of the
-id. The label is the document's language column; sentences that a word-frequency model
-gives to another language are left out. Sequences that switch are joined from sentences of several languages.
+The field is fitted on the driver, on at most `train_docs` labelled documents of each language, those with the least hash of the
+id, each used whole. The label is the document's language column; sentences that a word-frequency model
+gives to another language are left out. Sequences that switch are joined from sentences of several languages and begin anywhere in the first.
 
 For forward-backward without a loop over words, a document is cut into blocks; the products of each
 block's matrices are taken for all blocks at once, carried over from block to block, and then refined
 within blocks. The result is the exact one.
 
-Defined cases: a null, empty or wordless text has a null language, confidence 0 and no runs. Without labelled
-documents there are no languages, and every result is like that. Repeated rows are
+Defined cases: a null, empty or wordless text has a null language, confidence 0 and no runs. Very long texts and words are read whole. Of languages
+with the same mass in a document, or of the same probability for a word, the first in the alphabet counts. Without labelled
+documents there are no languages, and every result is like that; an empty table gives an empty result. Repeated rows are
 labelled each; ids may be null. Other columns are not read.
 """
 
@@ -32,56 +32,66 @@ from pyspark.sql import functions as F
 
 from objectlake.llm.common import id_text, table, words, workers
 
-TRAIN_DOCS, TRAIN_WORDS = 250, 300
-HASH, EDGE, LEXICON = 1 << 15, 16, 150
+#: Most labelled documents of each language that the field is fitted on.
+TRAIN_DOCS = 250
+HASH, LEXICON = 1 << 15, 150
 SEQUENCE, SEQUENCES, EPOCHS, BLOCK, REMEMBER = 32, 2000, 5, 32, 300_000
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
-def _codes(ws: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with a mark before and after each word, and lengths; of longer words both edges."""
-    short = [w if len(w) <= 2 * EDGE else w[:EDGE] + w[-EDGE:] for w in ws]
-    size = np.fromiter(map(len, short), np.int64, len(ws))
-    raw = np.zeros((len(ws), width + 3), np.uint64)
-    raw[:, 1 : width + 1] = np.array(short, f"U{width}").view(np.uint32).reshape(len(ws), width)
-    raw[:, 0] = 2
-    raw[np.arange(len(ws)), size + 1] = 3
-    return raw, size
+def _hashed(salt: int, *cols: np.ndarray) -> np.ndarray:
+    h = np.full(len(cols[0]), salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for c in cols:
+        h = (h ^ c.astype(np.uint64)) * _P[0] + (h >> np.uint64(29))
+    return ((h ^ (h >> np.uint64(17))) & np.uint64(HASH - 1)).astype(np.int32)
 
 
 def word_features(ws: list[str], lexicon: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For groups of words: their places in `ws`, and their rows of hashed features; HASH stands for none."""
+    """Hashed features of words, in parts: the places in `ws`, in their order, and a feature of each; every part has all features of one kind of some words."""
     size = np.fromiter(map(len, ws), np.int64, len(ws))
-    bound = 0
-    for width in (6, 10, 16, 2 * EDGE):
-        at = np.flatnonzero((size > bound) & (size <= width) if width < 2 * EDGE else size > bound)
-        bound = width
-        for part in np.array_split(at, len(at) // 50_000 + 1):
-            if not len(part):
-                continue
-            own = [ws[i] for i in part]
-            raw, n = _codes(own, width)
-            rows = np.arange(len(own))
-
-            def hashed(salt: int, *cols: np.ndarray) -> np.ndarray:
-                h = np.full(len(own), salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-                for c in cols:
-                    h = (h ^ c) * _P[0] + (h >> np.uint64(29))
-                return ((h ^ (h >> np.uint64(17))) & np.uint64(HASH - 1)).astype(np.int32)
-
-            none = np.int32(HASH)
-            out = []
-            for k in range(1, 4):
-                first, last = [raw[:, 1 + j] for j in range(k)], [raw[rows, np.maximum(n - k + 1 + j, 0)] for j in range(k)]
-                out += [np.where(n >= k, hashed(k, *first), none), np.where(n >= k, hashed(10 + k, *last), none)]
-            for j in range(width + 1):
-                out.append(np.where(raw[:, j + 1] > 0, hashed(20, raw[:, j], raw[:, j + 1]), none))
-                if j < width:
-                    out.append(np.where(raw[:, j + 2] > 0, hashed(21, raw[:, j], raw[:, j + 1], raw[:, j + 2]), none))
-            known = np.fromiter((lexicon.get(w, 0) for w in own), np.int64, len(own)).astype(np.uint64)
-            out += [np.where(known > 0, hashed(30, known), none), hashed(31, *(raw[:, 1 + j] for j in range(min(width, 12))))]
-            out += [hashed(32, np.minimum(n, 12).astype(np.uint64)), hashed(33, (raw[:, 1:-2] > 127).any(axis=1).astype(np.uint64)), hashed(34, ((raw >= 48) & (raw <= 57)).any(axis=1).astype(np.uint64))]
-            yield part, np.stack(out, axis=1)
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // 400_000)) + 1  # characters at a time; a word is never parted
+    for at in np.split(np.arange(len(ws)), cuts):
+        if not len(at):
+            continue
+        n = size[at]
+        chars = np.frombuffer("".join([ws[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        begin = np.cumsum(n) - n
+        # a mark before and after each word
+        c = np.empty(len(chars) + 2 * len(at), np.uint64)
+        word = np.repeat(np.arange(len(at)), n + 2)
+        first = begin + 2 * np.arange(len(at))
+        c[first], c[first + n + 1] = 2, 3
+        inner = np.ones(len(c), bool)
+        inner[first] = inner[first + n + 1] = False
+        c[inner] = chars
+        for k in range(1, 4):
+            some = np.flatnonzero(n >= k)
+            yield at[some], _hashed(k, *(c[first[some] + 1 + j] for j in range(k)))
+            yield at[some], _hashed(10 + k, *(c[first[some] + n[some] - k + 1 + j] for j in range(k)))
+        for k, salt in ((2, 20), (3, 21)):
+            p = np.flatnonzero(word[: len(c) - k + 1] == word[k - 1 :])
+            yield at[word[p]], _hashed(salt, *(c[p + j] for j in range(k)))
+        known = np.fromiter((lexicon.get(ws[i], 0) for i in at), np.int64, len(at))
+        some = np.flatnonzero(known)
+        yield at[some], _hashed(30, known[some])
+        # the whole word: a polynomial of its characters, modulo 2**64
+        power = np.cumprod(np.full(int(n.max()) + 1, _P[3] * _P[1] | np.uint64(1), np.uint64))
+        nth = np.arange(len(chars)) - np.repeat(begin, n)
+        whole = np.add.reduceat(chars * power[nth], begin)
+        yield at, _hashed(31, whole ^ (whole >> np.uint64(32)), n)
+        yield at, _hashed(32, np.minimum(n, 12))
+        yield at, _hashed(33, np.logical_or.reduceat(chars > 127, begin))
+        yield at, _hashed(34, np.logical_or.reduceat((chars >= 48) & (chars <= 57), begin))
+
+
+def word_scores(parts: Iterator[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    out = np.zeros((n, weights.shape[1]), weights.dtype)
+    for at, feats in parts:
+        if len(at):
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            out[at[first]] += np.add.reduceat(weights[feats], first, axis=0)
+    return out
 
 
 class Field:
@@ -94,10 +104,7 @@ class Field:
         return self.__dict__ | {"rows": {}, "scores": self.scores[:0]}
 
     def emissions(self, ws: list[str]) -> np.ndarray:
-        out = np.zeros((len(ws), len(self.languages)), np.float32)
-        for at, feats in word_features(ws, self.lexicon):
-            for f in feats.T:
-                out[at] += self.weights[f]
+        out = word_scores(word_features(ws, self.lexicon), self.weights, len(ws))
         return np.exp(out - out.max(axis=1, keepdims=True, initial=-np.inf))
 
     def look_up(self, documents: list[list[str]]) -> np.ndarray:
@@ -123,7 +130,7 @@ class Field:
         n = np.minimum(BLOCK, sizes[doc] - nth * BLOCK)
         first = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
         order = np.argsort(-n, kind="stable")  # longest first, so that step t works on the first rows only
-        n, first = n[order], first[order]
+        n, first, opens = n[order], first[order], (nth == 0)[order]
         place = np.empty(total, np.int64)
         place[order] = np.arange(total)
         live = [int(np.searchsorted(-n, -t, side="left")) for t in range(BLOCK)]
@@ -132,7 +139,10 @@ class Field:
             m = live[t]
             if not m:
                 break
-            M[:m] = (M[:m].reshape(-1, k) @ T).reshape(m, k, k) * self.scores[rows[first[:m] + t]][:, None, :]
+            step = (M[:m].reshape(-1, k) @ T).reshape(m, k, k)
+            if not t:  # no transition leads to the first word of a document
+                step[opens[:m]] = np.eye(k, dtype=np.float32)
+            M[:m] = step * self.scores[rows[first[:m] + t]][:, None, :]
             if t % 4 == 3:
                 M[:m] /= M[:m].max(axis=(1, 2), keepdims=True)
         into, out = np.full((total, k), 1 / k, np.float32), np.ones((total, k), np.float32)
@@ -155,7 +165,10 @@ class Field:
             m = live[t]
             if not m:
                 break
-            x = (a[:m] @ T) * self.scores[rows[first[:m] + t]]
+            x = a[:m] @ T
+            if not t:
+                x[opens[:m]] = 1
+            x *= self.scores[rows[first[:m] + t]]
             a = x / x.sum(axis=1, keepdims=True)
             result[first[:m] + t] = a
         b = out
@@ -232,32 +245,30 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
     vocabulary: dict[str, int] = {}
     X, Y = np.zeros((SEQUENCES, SEQUENCE), np.int64), np.zeros((SEQUENCES, SEQUENCE), np.int64)
     for i in range(SEQUENCES if present else 0):
-        ws, ys = [], []
-        while len(ws) < SEQUENCE:
+        ws, ys, skip = [], [], None
+        while len(ws) < SEQUENCE + (skip or 0):
             y = int(rng.choice(present))
             for _ in range(int(rng.integers(1, 4))):
                 s = pool[y][int(rng.integers(len(pool[y])))]
                 ws += s
                 ys += [y] * len(s)
-        X[i], Y[i] = [vocabulary.setdefault(w, len(vocabulary)) for w in ws[:SEQUENCE]], ys[:SEQUENCE]
-    field = Field(languages, lexicon, np.zeros((HASH + 1, k), np.float32), np.full((k, k), 1 / max(k, 1)))
+                skip = int(rng.integers(len(s))) if skip is None else skip
+        X[i], Y[i] = [vocabulary.setdefault(w, len(vocabulary)) for w in ws[skip : skip + SEQUENCE]], ys[skip : skip + SEQUENCE]
+    field = Field(languages, lexicon, np.zeros((HASH, k), np.float32), np.full((k, k), 1 / max(k, 1)))
     if not present:
         return field
     groups = list(word_features(list(vocabulary), lexicon))
-    W, M = np.zeros((HASH + 1, k)), 2 * np.eye(k)
+    W, M = np.zeros((HASH, k)), 2 * np.eye(k)
     sW, sM = np.full_like(W, 1e-3), np.full_like(M, 1e-3)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(SEQUENCES), 8):
-            E = np.zeros((len(vocabulary), k))
-            for at, feats in groups:
-                E[at] = W[feats].sum(axis=1)
+            E = word_scores(groups, W, len(vocabulary))
             e = np.exp(E - E.max(axis=1, keepdims=True))[X[part]]
-            T = np.exp(M - M.max(axis=1, keepdims=True))
-            T /= T.sum(axis=1, keepdims=True)
+            T = np.exp(M - M.max())
             a, b = np.empty_like(e), np.ones_like(e)
-            before = np.full((len(part), k), 1 / k)
+            before = np.ones((len(part), k))
             for t in range(SEQUENCE):
-                before = (before @ T) * e[:, t]
+                before = (before @ T if t else before) * e[:, t]
                 before /= before.sum(axis=1, keepdims=True)
                 a[:, t] = before
             for t in range(SEQUENCE - 1, 0, -1):
@@ -274,23 +285,19 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
             grad = -1e-2 * W
             for at, feats in groups:
                 for j in range(k):
-                    grad[:, j] += np.bincount(feats.ravel(), np.repeat(by_word[at, j], feats.shape[1]), HASH + 1)
-            grad[HASH] = 0
-            # locally normalised transitions: the gradient through the softmax of each row
-            rows = seen - xi
-            move = rows - T * rows.sum(axis=1, keepdims=True)
+                    grad[:, j] += np.bincount(feats, by_word[at, j], HASH)
+            move = seen - xi - 1e-2 * M
             sW += grad * grad
             sM += move * move
             W += 0.2 * grad / np.sqrt(sW)
             M += 0.4 * move / np.sqrt(sM)
-    T = np.exp(M - M.max(axis=1, keepdims=True))
-    field.weights, field.moves = W.astype(np.float32), T / T.sum(axis=1, keepdims=True)
+    field.weights, field.moves = W.astype(np.float32), np.exp(M - M.max())
     return field
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Field:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Field:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= train_words * 6))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     picked = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= train_docs)
     rows = own.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).distinct().collect()  # train_docs of each language
     return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))])
