@@ -77,6 +77,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from reliable storage, without lineage."""
     shared_dir(df.sparkSession)

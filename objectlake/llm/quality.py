@@ -10,8 +10,9 @@ intercept plus one table entry for each feature and pair, added up by column for
 The model is fitted on at most `train_rows` labelled documents, those with the least hash of
 the id; everything else covers all rows. A document's label is the least of its labels.
 
-Defined cases: a null, empty or blank text scores 0 and is not kept. Without labels of both kinds there is
-no model: scores are null and all rows are kept. Repeated rows are scored each; ids may be
+Defined cases: a null, empty or blank text scores 0 and is not kept. Very long texts are read whole. A score that equals the threshold is kept;
+of splits with the same gain the first counts. Without labels of both kinds there is
+no model: scores are null and all rows are kept; an empty table gives an empty result. Repeated rows are scored each; ids may be
 null. Other columns are not read, whatever their names.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objectlake.llm.common import id_text, keep_rows, map_arrow, table
+from objectlake.llm.common import id_text, keep_rows, least, map_arrow, table
 
 #: Most labelled documents that the model is fitted on; least score that is kept.
 TRAIN_ROWS, THRESHOLD = 6000, 0.5
@@ -158,7 +159,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model of the labels; None unless both kinds occur."""
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    found = [(r.doc_id, r.label) for r in least(sample, "doc_id", train_rows)]
+    sample = docs.sparkSession.createDataFrame(found, "doc_id long, label int")
     rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # as many rows as train_rows
 
     def step(batch: pa.RecordBatch) -> dict:

@@ -97,3 +97,92 @@ def test_features():
     assert f["digits"] == pytest.approx(2 / 22)
     assert Q.features(None) is None
     assert Q.features(" \n") is None
+
+
+def _plain_split(g, h):
+    """The best cut of ordered bins in two, by trying all: (gain, cut)."""
+    gain = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    return max(((gain(0, m) + gain(m, len(g)) - gain(0, len(g)), -m) for m in range(1, len(g))), default=(0, 0))
+
+
+def _plain_tree(g, h, leaves):
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        tried = [(*_plain_split(g[a:b], h[a:b]), a, b) for a, b in parts if b - a > 1]
+        best = max(tried, key=lambda t: (t[0], -(t[2] - t[1])), default=None)
+        if best is None or best[0] <= 1e-9:
+            break
+        _, m, a, b = best
+        parts = sorted([*[p for p in parts if p != (a, b)], (a, a - m), (a - m, b)])
+    out = [0.0] * len(g)
+    for a, b in parts:
+        out[a:b] = [sum(g[a:b]) / (sum(h[a:b]) + 1)] * (b - a)
+    return out
+
+
+def _plain_fit(x, y):
+    """The whole fit in plain loops; returns the score of each row."""
+    import math
+    from itertools import combinations
+
+    n, k = len(x), len(x[0])
+    sigmoid = lambda f: 1 / (1 + math.exp(-f))
+    cuts = [sorted({sorted(r[i] for r in x)[math.floor((n - 1) * q / Q.BINS + 1e-9)] for q in range(1, Q.BINS)}) for i in range(k)]
+    bins = [[sum(c < r[i] for c in cuts[i]) for i in range(k)] for r in x]
+    f = [math.log(sum(y) / (n - sum(y)))] * n
+
+    def sums(key, size):
+        g, h = [0.0] * size, [0.0] * size
+        for r in range(n):
+            q = sigmoid(f[r])
+            g[key(r)] += y[r] - q
+            h[key(r)] += q * (1 - q)
+        return g, h
+
+    for _ in range(Q.ROUNDS):
+        for i in range(k):
+            tree = _plain_tree(*sums(lambda r, i=i: bins[r][i], len(cuts[i]) + 1), 3)
+            for r in range(n):
+                f[r] += Q.RATE * tree[bins[r][i]]
+    size = [len(c) + 1 for c in cuts]
+    coarse = [[b * Q.GRID // max(s, Q.GRID) if s > Q.GRID else b for b in range(s)] for s in size]
+
+    def grid(i, j):
+        """The best tree of depth two over the grid of two features: (gain, values)."""
+        a, b = coarse[i][-1] + 1, coarse[j][-1] + 1
+        g, h = sums(lambda r: coarse[i][bins[r][i]] * b + coarse[j][bins[r][j]], a * b)
+        best = (0.0, [0.0] * (a * b))
+        for flip in (False, True):
+            at = (lambda u, v: v * b + u) if flip else (lambda u, v: u * b + v)
+            outer, inner = (b, a) if flip else (a, b)
+            for m in range(1, outer):
+                values, gain = [0.0] * (a * b), 0.0
+                for half in (range(m), range(m, outer)):
+                    gg, hh = ([sum(z[at(u, v)] for u in half) for v in range(inner)] for z in (g, h))
+                    tree = _plain_tree(gg, hh, 2)
+                    gain += sum(2 * t * p - t * t * q for t, p, q in zip(tree, gg, hh))
+                    for u in half:
+                        for v in range(inner):
+                            values[at(u, v)] = tree[v]
+                if gain > best[0] + 1e-12:
+                    best = gain, values
+        return best
+
+    ranked = sorted(combinations(range(k), 2), key=lambda p: (-grid(*p)[0], p))[: Q.PAIRS]
+    for _ in range(Q.ROUNDS // 4):
+        for i, j in ranked:
+            values, b = grid(i, j)[1], coarse[j][-1] + 1
+            for r in range(n):
+                f[r] += Q.RATE * values[coarse[i][bins[r][i]] * b + coarse[j][bins[r][j]]]
+    return [sigmoid(v) for v in f]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fit_against_plain_loops(seed, monkeypatch):
+    monkeypatch.setattr(Q, "ROUNDS", 12)
+    monkeypatch.setattr(Q, "BINS", 10)
+    monkeypatch.setattr(Q, "GRID", 4)
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 3)).round(2)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    assert np.allclose(Q.fit(x, y).score(x), _plain_fit(x.tolist(), y.tolist()), atol=1e-6)
