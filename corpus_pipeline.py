@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each result as
 Parquet into the shared folder and reads it again. All stages but the last return the columns that they are given; the
-last returns doc_id, n_tokens, tokens and the text that the tokens decode to.
+last returns doc_id, n_tokens, tokens and the text that the tokens decode to. What a stage was given is
+removed once the next one's result is written whole.
+
+Defined cases: documents with a null, empty or blank text are rejected by the quality classifier where there are labels of both kinds, and
+go through all stages where there aren't, with null tokens for a null text. Ids may be null or repeated: rows are
+told apart by all their columns, and of equal rows one stays, as of near copies the one with the least
+id. Very long texts are read whole by each stage. Ties are decided as each operator says. Empty tables give an empty result; without
+labels all documents are kept, without a benchmark none is contaminated. Further columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from objectlake.llm import bpe, decontaminate, near_dedup, pii, quality
-from objectlake.llm.common import shared_dir, table
+from objectlake.llm.common import remove, shared_dir, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
     return docs
