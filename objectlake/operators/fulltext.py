@@ -14,6 +14,15 @@ def postings(texts: DataFrame, dimension: str = "content") -> DataFrame:
     return each.groupBy("term", "object_id").agg(F.count("*").alias("freq")).select("term", "object_id", F.lit(dimension).alias("dimension"), "freq")
 
 
+def postings_for(texts: DataFrame, query: str, every: bool = False) -> DataFrame:
+    """The postings that a query for any term, or for every one, can need: texts without them aren't cut into tokens at all."""
+    low, found = F.lower("text"), None
+    for t in _terms(query):
+        has = F.contains(low, F.lit(t))
+        found = has if found is None else (found & has if every else found | has)
+    return postings(texts.where(F.lit(False) if found is None else found)).where(F.col("term").isin(_terms(query)))
+
+
 def without(index: DataFrame, gone: DataFrame) -> DataFrame:
     return index.join(gone.select("object_id"), "object_id", "left_anti").select(index.columns)
 

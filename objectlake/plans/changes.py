@@ -8,10 +8,11 @@ from objectlake.functions import text as T
 from objectlake.operators import fulltext, graph, integrity, lifecycle, namespace, versions
 from objectlake.plans import sql as S
 from objectlake.plans.predicates import And, Eq, Or, Semantic, SimilarTo, Tables, compile
-from objectlake.plans.queries import _POSTINGS, _dataset, _postings, _texts, query
+from objectlake.plans.queries import _POSTINGS, _dataset, _stream, _texts, query
 from objectlake.sources import files
 from objectlake.sources import tables as src
 from objectlake.sources.tables import object_id, table, union
+from objectlake.streaming import access
 
 # Listings
 
@@ -26,7 +27,7 @@ def recent_objects(spark, d):
 @query(f"with {_POSTINGS}, hits as (select object_id, sum(freq)::bigint as score from postings where term in ('license', 'token') group by 1) select object_id, score, row_number() over (order by score desc, object_id)::int as rank from hits order by rank limit 100")
 def text_ranked(spark, d):
     """The 100 best hits, of equally good ones by id."""
-    return fulltext.ranked(fulltext.search_any_term(_postings(spark, d), "license token"), 100)
+    return fulltext.ranked(fulltext.search_any_term(fulltext.postings_for(_texts(spark, d), "license token"), "license token"), 100)
 
 
 @query(
@@ -240,3 +241,13 @@ def stored_index(spark, d):
     own.commit(vectors=table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")))
     back = own.read("vectors")
     return back.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dimensions"), F.sum(F.size("vector").cast("long") * 8).alias("bytes"))
+
+
+@query(
+    """with e as (select event_type as object_id, case when event_id % 7 = 0 then 'queue' else 'access' end as kind, lag(case when event_id % 7 = 0 then 'queue' else 'access' end) over (partition by event_type order by ts, event_id) as before from events)
+    select object_id, count(*) filter (kind = 'access' and before = 'queue') as hits, count(*) filter (kind = 'access' and before is distinct from 'queue') as misses from e group by 1"""
+)
+def stream_prefetch(spark, d):
+    """Every seventh event puts its object into the queue, the others are accesses."""
+    kind = F.when(F.col("seq") % 7 == 0, "queue").otherwise("access")
+    return access.settle(access.prefetch(_stream(spark, d).withColumn("kind", kind)), keys=("object_id",))

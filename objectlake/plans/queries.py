@@ -96,7 +96,19 @@ def delete_objects(spark, d):
     return versions.delete(table(spark, d, "documents").select("doc_id", "lang", "source"), table(spark, d, "labels").where("quality = 0"), ["doc_id"])
 
 
-@query(None)
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+@query(
+    f"""with b as (select doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents), t as (select {_crc_table()}::bigint[] as tab)
+    select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::bigint) as crc from b, t"""
+)
 def checksum(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -414,12 +426,12 @@ def postings_remove(spark, d):
 
 @query(f"with {_POSTINGS} select object_id, sum(freq) / 2 as score from postings where term in ('license', 'the') group by 1 having count(*) = 2")
 def text_and(spark, d):
-    return fulltext.search_all_terms(_postings(spark, d), "the license")
+    return fulltext.search_all_terms(fulltext.postings_for(_texts(spark, d), "the license", True), "the license")
 
 
 @query(f"with {_POSTINGS} select object_id, sum(freq)::bigint as score from postings where term in ('license', 'token') group by 1")
 def text_any(spark, d):
-    return fulltext.search_any_term(_postings(spark, d), "License, token")
+    return fulltext.search_any_term(fulltext.postings_for(_texts(spark, d), "License, token"), "License, token")
 
 
 @query(f"with {_POSTINGS} select count(distinct term) as n_terms from postings")

@@ -417,3 +417,13 @@ def test_semantic_predicates(spark):
     assert ids(SimilarTo("o3", 4)) == set(near(vec["o3"], 4)) - {"o3"}
     assert ids(And((Semantic("gamma horse", 6), Contains("content", "horse")))) == {i for i in near(query, 6) if "horse" in dict(data)[i]}
     assert ids(Or((SimilarTo("o3", 3), Contains("content", "beta")))) == (set(near(vec["o3"], 3)) - {"o3"}) | {i for i, t in data if t and "beta" in t}
+
+
+def test_postings_for_a_query(spark):
+    """The same hits as from the whole index; terms inside other words don't count."""
+    texts = spark.createDataFrame([("a", "the License, the token"), ("b", "licensed tokens"), ("c", "License only"), ("d", None), ("e", "")], "object_id string, text string")
+    whole = fulltext.postings(texts)
+    for q in ("license token", "the", "", "absent", "license license"):
+        scored = lambda df: sorted((r.object_id, r.score) for r in df.collect())
+        assert scored(fulltext.search_any_term(fulltext.postings_for(texts, q), q)) == scored(fulltext.search_any_term(whole, q))
+        assert scored(fulltext.search_all_terms(fulltext.postings_for(texts, q, True), q)) == scored(fulltext.search_all_terms(whole, q))
