@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from objectlake.operators import enrich, fulltext, graph, integrity, lifecycle,
 from objectlake.plans import sql as S
 from objectlake.plans.predicates import And, Contains, Eq, Or, Related, Tables, compile, compile_wide
 from objectlake.schema import kind_of, read_as, wide
-from objectlake.session import shared_dir
+from objectlake.session import importable, shared_dir
 from objectlake.sources import tables as src
 from objectlake.sources.dataset import Dataset
 from objectlake.sources.tables import object_id, table, union
@@ -27,8 +28,13 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f, sql
-        return f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run, sql
+        return run
 
     return add
 
