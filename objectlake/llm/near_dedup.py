@@ -5,7 +5,7 @@ times its length (at most 8), so that short function words count little. Equal
 fingerprints are merged first. Every fingerprint then goes into several tries, each with its own
 order of the bits; a trie is cut at its first bits into shards of about `shard` fingerprints. Within
 a shard, pairs of nodes are walked down together, the differing bits of a pair are added up, and a
-pair is left as soon as its error budget is spent: ERRORS bits down to the depth at which
+pair is left as soon as its error budget is spent: one or two bits (ERRORS) down to the depth at which
 random fingerprints part (the logarithm of their number), and `radius` bits from there on.
 Of the pairs found in a shard only a spanning forest leaves the task, and connected
 components of these edges are the groups. Pairs of nodes that earlier pairs have connected already are not walked.
@@ -43,10 +43,13 @@ from objectlake.llm.common import cut, id_text, map_arrow, table, words, workers
 BITS = 128
 #: Pairs of documents whose fingerprints differ in at most this many bits are near copies (a word in ten replaced gives 16 on average, hardly ever more than 22).
 RADIUS = 22
-#: Share to be found of the pairs right at the radius; differing bits of a pair down to where random fingerprints part.
-RECALL, ERRORS = 0.9999, 1
-#: Fingerprints in a shard of a trie; a larger one, by this factor, is cut into parts.
-SHARD, HOT = 1 << 18, 2
+#: Share to be found of the pairs right at the radius.
+RECALL = 0.9999
+#: Fingerprints in a shard of a trie, and differing bits of a pair down to where random fingerprints part: up to LARGE fingerprints, and beyond, where fewer and dearer tries save most of the shuffle.
+SHARD, ERRORS = (1 << 18, 1 << 20), (1, 2)
+LARGE = 1 << 27
+#: A shard that is larger by this factor is cut into parts.
+HOT = 2
 
 
 def fingerprint(text: str | None) -> bytes | None:
@@ -69,10 +72,12 @@ def fingerprint(text: str | None) -> bytes | None:
 class Plan:
     """The tries for n fingerprints: bits of a shard's key, depth to which the error budget holds, and the order of bits of each trie."""
 
-    def __init__(self, n: int, radius: int = RADIUS, recall: float = RECALL, errors: int = ERRORS, shard: int = SHARD) -> None:
+    def __init__(self, n: int, radius: int = RADIUS, recall: float = RECALL, errors: int | None = None, shard: int | None = None) -> None:
         if not 0 <= radius <= BITS:
             raise ValueError(f"a radius of {radius} bits")
         n = max(n, 2)
+        errors, shard = ERRORS[n > LARGE] if errors is None else errors, SHARD[n > LARGE] if shard is None else shard
+        self.shard = shard
         self.radius, self.errors = radius, min(errors, radius)
         self.head = max(0, math.ceil(math.log2(n / shard)))
         self.depth = max(self.head, math.ceil(math.log2(n)))
@@ -259,12 +264,12 @@ def _shard_pairs(raw: np.ndarray, order: np.ndarray, plan: Plan, side: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in raw[ends[:, k]]], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, shard: int | None = None, hot: int = HOT) -> DataFrame:
     """(a, b): a spanning set of the pairs of distinct fingerprints `fp` within the radius; n: about how many there are."""
     spark = prints.sparkSession
     workers(spark)
     plan = Plan(n, radius, recall, shard=shard)
-    trees = len(plan.orders)
+    trees, shard = len(plan.orders), plan.shard
 
     def heads(raw: np.ndarray) -> Iterator[np.ndarray]:
         for tree, order in enumerate(plan.orders):
@@ -397,7 +402,7 @@ def _row_key(docs: DataFrame) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without those rows that near_duplicates gives up; of a row that occurs several times, the same in all columns, one stays. Only narrow keys are shuffled."""
+    """docs without those rows that near_duplicates gives up; of a row that occurs several times, the same in all columns, one stays. Documents are shuffled once, where the list of rows that go is too long to be broadcast."""
     key = _row_key(docs)
     found = ranked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key")), radius)
     name = "__row_key"
