@@ -272,9 +272,15 @@ def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECAL
     trees, shard = len(plan.orders), plan.shard
 
     def heads(raw: np.ndarray) -> Iterator[np.ndarray]:
+        """The shard of each fingerprint, for one trie after the other."""
         for tree, order in enumerate(plan.orders):
-            top = _permuted(raw, np.r_[order[: plan.head], order[: 64 - plan.head]])[:, :8].copy().view(">u8")[:, 0].astype(np.uint64) if plan.head else None
-            yield np.full(len(raw), tree, np.int64) if top is None else (top >> np.uint64(64 - plan.head)).astype(np.int64) + (tree << plan.head)
+            key = np.full(len(raw), tree, np.int64)
+            for bit in order[: plan.head].tolist():
+                key = key << 1 | raw[:, bit >> 3] >> (7 - (bit & 7)) & 1
+            yield key
+
+    # so many fingerprints at a time that several of them share a row of each shard
+    together = min(1 << 22, max(1 << 16, 16 << plan.head))
 
     def read(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
         held, size = [], 0
@@ -288,7 +294,7 @@ def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECAL
             yield np.concatenate(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in read(batches, 1 << 16):
+        for raw in read(batches, together):
             keys, sizes = np.unique(np.concatenate(list(heads(raw))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes)], names=["key", "n"])
 
@@ -300,7 +306,7 @@ def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECAL
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, parts of the shard a and b, the part that these rows are, their bytes), many fingerprints in a row."""
-        for raw in read(batches, 1 << 16):
+        for raw in read(batches, together):
             out: list[tuple[int, int, int, int, bytes]] = []
             for key in heads(raw):
                 by = np.argsort(key, kind="stable")
@@ -336,8 +342,8 @@ def edges(prints: DataFrame, n: int, radius: int = RADIUS, recall: float = RECAL
         yield from whole()
 
     packed = prints.select("fp").mapInArrow(spread, "key long, a int, b int, part int, rows binary")
-    # a task for each of a few shards, not as many as the bytes would tell: their work is more than linear
-    tasks = max(1, min(trees << plan.head, max(int(spark.conf.get("spark.sql.shuffle.partitions")), trees)))
+    # a task for each of a few shards, not as many as their bytes alone would tell, since their work is more than linear; never more than about 256 MB for one
+    tasks = max(1, min(trees << plan.head, max(int(spark.conf.get("spark.sql.shuffle.partitions")), trees, 16 * n * trees >> 28)))
     return packed.repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(join, "a binary, b binary").distinct()
 
 
