@@ -407,8 +407,14 @@ def _row_key(docs: DataFrame) -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), *own)), 16, "0") for salt in (1, 2)]))
 
 
+def _listed(keys: DataFrame) -> tuple[int, DataFrame]:
+    """The number of the keys, and the keys, marked for broadcast where 64 bytes for each stay within the session's threshold; the optimiser can't tell their size."""
+    n, limit = keys.count(), keys.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return n, F.broadcast(keys) if 64 * n <= limit else keys
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without those rows that near_duplicates gives up; of a row that occurs several times, the same in all columns, one stays. Documents are shuffled once, where the list of rows that go is too long to be broadcast."""
+    """docs without those rows that near_duplicates gives up; of a row that occurs several times, the same in all columns, one stays. Documents are shuffled once where the list of rows that go is too long to be broadcast, and once more only where that of repeated rows is, too."""
     key = _row_key(docs)
     found = ranked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row_key")), radius)
     name = "__row_key"
@@ -416,8 +422,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         name += "_"
     special = cut(found.groupBy("row_key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1").withColumnRenamed("row_key", name))
     keyed = docs.withColumn(name, key)
-    again = keyed.join(special.where("stays").select(name), name, "left_semi").dropDuplicates([name])
-    return keyed.join(special.select(name), name, "left_anti").unionByName(again).select([F.col(f"`{c}`") for c in docs.columns])
+    _, out = _listed(special.select(name))
+    repeated, again = _listed(special.where("stays").select(name))
+    kept = keyed.join(out, name, "left_anti")
+    if repeated:
+        kept = kept.unionByName(keyed.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

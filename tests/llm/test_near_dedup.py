@@ -164,6 +164,20 @@ def test_odd_rows(spark):
     assert len(kept) == data.count() - 3
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_keep_one_by_either_join(spark, threshold):
+    """Lists of keys that are broadcast and such that aren't give the same rows, repeated ones among them or not."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        once, twice = docs(spark, corpus()), docs(spark, corpus()).union(docs(spark, corpus()))
+        gone = {r.doc_id for r in N.near_duplicates(once).collect()}
+        want = sorted(((i,) for i, _ in corpus() if i not in gone), key=repr)
+        assert rows(N.keep_one(once), "doc_id") == rows(N.keep_one(twice), "doc_id") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rows_that_only_differ_in_other_columns(spark):
     data = spark.createDataFrame([(1, "some words here", "en", {"a": 1}), (1, "some words here", "de", {"a": 1}), (1, "some words here", "de", {"a": 2})], "doc_id long, text string, lang string, more map<string,int>")
     got = N.keep_one(data).collect()
