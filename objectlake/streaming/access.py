@@ -8,7 +8,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -87,21 +91,47 @@ def _unpack(rows) -> dict:
 
 
 def prefetch(events: DataFrame) -> DataFrame:
-    """(object_id, hits, misses): updates from (object_id, ts, seq, kind): "queue" puts an object into the queue, "access" is a hit if it is there, and takes it out."""
+    """(object_id, hits, misses): updates from (object_id, ts, seq, kind): "queue" puts an object into the queue, "access" is a hit if it is there, and takes it out.
+
+    A batch is cut into ranges of (object_id, ts, seq), nulls last, and a range leaves one row for each of its objects: however many events
+    an object has, its state gets no more rows than there are ranges.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each object in a range: the range's number, whether its first and last event put it into the queue, and the hits and misses after the first."""
+        held, known = [], {}
+        for batch in batches:
+            ids = batch["object_id"].dictionary_encode("encode")
+            codes = np.array([known.setdefault(x, len(known)) for x in ids.dictionary.to_pylist()], np.int32)
+            held.append(pa.RecordBatch.from_arrays([pa.array(codes[ids.indices]), batch["ts"], batch["seq"], batch["queue"]], ["object", "ts", "seq", "queue"]))
+        if not known:
+            return
+        rows = pa.Table.from_batches(held)
+        order = pc.sort_indices(rows, [(c, "ascending") for c in ("object", "ts", "seq")])
+        objects, queue = (rows[c].take(order).to_numpy() for c in ("object", "queue"))
+        start = np.flatnonzero(np.r_[True, objects[1:] != objects[:-1]])
+        before = np.r_[False, queue[:-1]]
+        inner = ~queue
+        inner[start] = False
+        each = [np.add.reduceat(x, start, dtype=np.int64) for x in (inner & before, inner & ~before)]
+        names = pa.array(list(known), pa.string()).take(pa.array(objects[start]))
+        part = np.full(len(start), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([names, *map(pa.array, (part, queue[start], *each, queue[np.r_[start[1:], len(queue)] - 1]))], ["object_id", "part", "first", "hits", "misses", "last"])
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         queued, hits, misses = state.get if state.exists else (False, 0, 0)
-        for kind in pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable").kind:
-            if kind == "queue":
-                queued = True
-            elif queued:
-                queued, hits = False, hits + 1
-            else:
-                misses += 1
+        new = pd.concat(list(batches)).sort_values("part")
+        for first, more_hits, more_misses, last in zip(*(new[c].tolist() for c in ("first", "hits", "misses", "last"))):
+            hits += more_hits + (queued and not first)
+            misses += more_misses + (not queued and not first)
+            queued = last
         state.update((queued, hits, misses))
         yield pd.DataFrame({"object_id": [k[0]], "hits": [hits], "misses": [misses]})
 
-    return events.select("object_id", "ts", "seq", "kind").groupBy("object_id").applyInPandasWithState(step, "object_id string, hits long, misses long", "queued boolean, hits long, misses long", "update", GroupStateTimeout.NoTimeout)
+    queue = F.coalesce(F.col("kind") == "queue", F.lit(False))
+    own = events.select(F.col("object_id").cast("string").alias("object_id"), "ts", "seq", queue.alias("queue"))
+    ranges = own.repartitionByRange(*map(F.asc_nulls_last, ("object_id", "ts", "seq"))).mapInArrow(runs, "object_id string, part int, first boolean, hits long, misses long, last boolean")
+    return ranges.groupBy("object_id").applyInPandasWithState(step, "object_id string, hits long, misses long", "queued boolean, hits long, misses long", "update", GroupStateTimeout.NoTimeout)
 
 
 def apply_changes(changes: DataFrame, dataset, name: str, checkpoint: str, key: str = "object_id"):

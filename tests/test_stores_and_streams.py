@@ -197,3 +197,37 @@ def test_a_file_is_put_once(dataset):
     with pytest.raises(Conflict):
         dataset._put("manifests/x.json", {"a": 2})
     assert dataset._get("manifests/x.json") == {"a": 1}
+
+
+def test_prefetch_sends_a_row_for_each_range(spark, tmp_path, monkeypatch):
+    """Against a plain loop, in two batches with null times, ties and objects: what reaches the state is a few rows, not the events."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), n, rng.choice(["queue", "access", None]), rng.choice([None, *range(200)])) for n in range(20_000)]
+    want: dict = {}
+    for part in (rows[:12_000], rows[12_000:]):
+        for oid, _, kind, _ in sorted(part, key=lambda r: (r[3] is None, r[3] or 0, r[1])):
+            queued, hits, misses = want.get(oid, (False, 0, 0))
+            want[oid] = (True, hits, misses) if kind == "queue" else (False, hits + queued, misses + (not queued))
+        log = spark.createDataFrame(part, "object_id string, seq long, kind string, s long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+        log.coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+        import time
+
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = access.read_log(spark, f"{tmp_path}/q", "object_id string, seq long, kind string, ts timestamp_ntz", 1)
+    seen = spark.sparkContext.accumulator(0)
+    grouped = type(stream.groupBy("object_id")).applyInPandasWithState
+
+    def counted(self, step, *more):
+        def counting(k, batches, state):
+            own = list(batches)
+            seen.add(sum(map(len, own)))
+            return step(k, iter(own), state)
+
+        return grouped(self, counting, *more)
+
+    monkeypatch.setattr(type(stream.groupBy("object_id")), "applyInPandasWithState", counted)
+    got = {r.object_id: (r.hits, r.misses) for r in access.settle(access.prefetch(stream), keys=("object_id",)).collect()}
+    assert got == {k: v[1:] for k, v in want.items()}
+    assert 0 < seen.value <= 2 * (4 + 2)  # in each batch, a row for each of four ranges, and one more where an object ends within a range
