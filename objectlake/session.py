@@ -18,6 +18,8 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, unless they have it anyway."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # a worker holds two batches, and of long texts these are large
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH", ""))))

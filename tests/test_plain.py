@@ -135,3 +135,57 @@ def test_predicates_by_embedding(spark, name):
     else:
         want = (set(near(vec[0], 5)) - {0}) | set(near(plain_embedding("token and license"), 5))
     assert {r.object_id for r in rows(spark, name)} == {f"document/{i}" for i in want}
+
+
+def peak_mb(f):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_embedding_keeps_few_vectors():
+    """Texts with more trigrams, in one and in all, than are kept: the same vectors, in bounded memory."""
+    from objectlake.functions import codec
+
+    texts = ["".join(map(chr, range(a, a + n))) for a, n in ((0x4E00, 20_000), (0x3400, 6_000), (0x4E00, 3_000), (0xAC00, 11_000))] + ["a\0b\0\0", "ab", "", "aaa", None]
+    texts += [texts[2]]
+    got, mb = peak_mb(lambda: [codec.embed(t) for t in texts])
+    assert mb < 48  # 17 for what is kept; all of the vectors are 40, and were held twice
+    assert got[2] == got[-1]  # whatever is kept
+    for g, t in zip(got, texts):
+        low = (t or "").lower()
+        want = np.zeros(128)
+        for gram in (low[i : i + 3] for i in range(len(low) - 2)):
+            want += codec.unit_vector(gram)
+        size = np.linalg.norm(want)
+        assert np.allclose(g, want / size if size else want, atol=1e-12)
+
+
+def test_embedding_of_a_batch_makes_no_lists():
+    import pyarrow as pa
+
+    from objectlake.functions import codec
+
+    batch = pa.array([f"text {n % 50} of some words" for n in range(8_000)] + [None])
+    got, mb = peak_mb(lambda: codec.text_embedding.func(batch))
+    assert len(got) == 8_001 and got[7].as_py() == codec.embed("text 7 of some words") and got[8_000].as_py() == [0.0] * 128
+    assert mb < 28  # 8 of vectors, 17 kept; as lists of numbers they were 32 more
+    assert codec.hashed_vector.func(batch.slice(7_999))[1].as_py() == codec.unit_vector("").tolist()
+    assert not len(codec.hashed_vector.func(batch.slice(0, 0))) and not len(codec.text_embedding.func(batch.slice(0, 0)))
+
+
+def test_batches_of_workers_are_small(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from objectlake.session import importable
+
+    own = spark.newSession()
+    importable(own)
+    size = F.arrow_udf("long")(lambda x: pa.array([x.nbytes] * len(x)))
+    most = own.range(0, 6_000, 1, 1).select(size(F.repeat(F.lit("x"), F.lit(2_000) + F.col("id").cast("int") % 2)).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 5 << 20
