@@ -178,6 +178,19 @@ def test_embedding_of_a_batch_makes_no_lists():
     assert not len(codec.hashed_vector.func(batch.slice(0, 0))) and not len(codec.text_embedding.func(batch.slice(0, 0)))
 
 
+def test_codec_takes_a_value_at_a_time():
+    import pyarrow as pa
+
+    from objectlake.functions import codec
+
+    values = [os.urandom(5_000) + b"x" * 5_000, b"y" * 10_000, b"", None, b"some text, and more of it " * 40]
+    batch = pa.array(values * 600, pa.binary())
+    got, mb = peak_mb(lambda: codec.codec_stats.func(batch))
+    assert mb < 4  # the batch is 13
+    assert [(r["algo"], r["original"]) for r in got.slice(0, 5).to_pylist()] == [("fast", 10_000), ("rle", 10_000), ("none", 0), ("none", 0), ("dict", 1_040)]
+    assert not len(codec.codec_stats.func(batch.slice(0, 0)))
+
+
 def test_batches_of_workers_are_small(spark):
     import pyarrow as pa
     from pyspark.sql import functions as F
